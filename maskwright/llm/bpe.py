@@ -23,7 +23,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textops as X
 
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, drop
             for s in X.pieces(b, "__bpe_text"):
                 yield pa.RecordBatch.from_arrays([*(s.column(c) for c in other), *_arrays(codec, s.column("__bpe_text"))], [*other, *made])
 
-    schema = docs.drop("__bpe_text").schema.add("tokens", "array<int>").add("n_tokens", "bigint").add("round_trip", "boolean")
+    schema = docs.drop("__bpe_text").schema.add("tokens", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()).add("round_trip", T.BooleanType())
     return docs.mapInArrow(source, schema)
 
 

@@ -24,17 +24,22 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder of spark.checkpoint.dir; sets a folder only where there is none (tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the cluster names in spark.checkpoint.dir; one is made only where none is set (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
-            if not context.master.startswith("local["):
+            if not context.master.startswith("local[") and context.master != "local":
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -98,7 +103,7 @@ def regroup(df: DataFrame, source: Callable, packer: Packer, reduce: Callable, s
     """source: batches to packed batches; their buckets are brought together; reduce: partition's batches to batches."""
     n = packer.buckets
     packed = df.mapInArrow(source, packer.schema())
-    return packed.repartition(n, F.col("bucket")).mapInArrow(reduce, schema) if not hasattr(packed, "repartitionById") else packed.repartitionById(n, F.col("bucket")).mapInArrow(reduce, schema)
+    return packed.repartitionById(n, F.col("bucket")).mapInArrow(reduce, schema)
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
