@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import textops as X
 
 #: Records that a worker gathers before it passes them on.
-FLUSH = 1_500_000
+FLUSH = 700_000
 
 
 def width(spark: SparkSession) -> int:

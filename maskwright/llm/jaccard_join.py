@@ -31,6 +31,8 @@ BITS = 1024
 #: Pairs that one tile may hold before it is split.
 TILE_PAIRS = 200_000
 EXTRA = 20
+#: Pairs that a worker holds before it sorts and passes them on, and rows of the batches it passes.
+HELD, ROWS = 800_000, 100_000
 
 
 def prefix_size(n: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +74,7 @@ def _hot(docs: DataFrame, n: int, share: float) -> np.ndarray:
                 held.append(g)
                 texts += len(ids)
                 size += len(g)
-                if size > 4_000_000:
+                if size > 3_000_000:
                     yield flush()
                     held, texts, size = [], 0, 0
         yield flush()
@@ -125,31 +127,33 @@ def _candidates(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray) ->
         held: list = []
         waiting = 0
 
-        def pack() -> pa.RecordBatch:
+        def pack() -> Iterator[pa.RecordBatch]:
             a, b = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
             a, b = np.minimum(a, b), np.maximum(a, b)
             o = np.lexsort((b, a))
             a, b = a[o], b[o]
             e = X.runs(a, b)
-            return pa.RecordBatch.from_arrays([pa.array(a[e[:-1]]), pa.array(b[e[:-1]]), pa.array(np.diff(e).astype(np.int32))], ["a", "b", "shared"])
+            a, b, many = a[e[:-1]], b[e[:-1]], np.diff(e).astype(np.int32)
+            for k in range(0, len(a), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + ROWS]) for x in (a, b, many)], ["a", "b", "shared"])
 
         todo = np.flatnonzero(count > 0)
         ends = np.cumsum(count[todo])
         done = 0
         while done < len(todo):
             base = ends[done - 1] if done else 0
-            upto = max(done + 1, int(np.searchsorted(ends, base + 2_000_000)))
+            upto = max(done + 1, int(np.searchsorted(ends, base + HELD // 4)))
             own = todo[done:upto]
             left = np.repeat(own, count[own])
             right = X.ranges(own + 1, reach[own])
             held.append((c[left], c[right]))
             waiting += len(left)
-            if waiting > 2_000_000:
-                yield pack()
+            if waiting > HELD:
+                yield from pack()
                 held, waiting = [], 0
             done = upto
         if held:
-            yield pack()
+            yield from pack()
 
     met = E.regroup(docs, source, packer, reduce, "a bigint, b bigint, shared int")
     return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that are handled at once; bounds a worker's memory (about 60 bytes of arrays a byte of text).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
