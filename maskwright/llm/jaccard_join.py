@@ -3,8 +3,8 @@
 How: documents with the same set are one class; a set's grams are put in one global order, those of many documents
 last, the rest by hash. Of two sets that reach the threshold, the first (1 - t) n + l grams share at least l; so
 records of these grams meet in buckets, where size bands give each gram's compatible partners, and pairs that
-meet often enough go on. A 1,024-bit parity signature then bounds the overlap from above, and what is left is
-settled by intersecting the sorted hash arrays, gathered once a tile of pairs. Every step keeps all true pairs.
+meet often enough go on, or at once where a shared gram is among the first of both. The sorted hash arrays of a tile of pairs are gathered once:
+there, 1,024-bit parity signatures bound each overlap from above, and what is left is settled by intersection. Every step keeps all true pairs.
 
 Cases: null texts and texts without words have no grams and no partner. Texts of one or two words have one gram, of
 all their words. Rows without doc_id are left out. Rows that repeat a doc_id are one document; if their texts
@@ -23,14 +23,15 @@ from pyspark.sql import DataFrame, functions as F
 from . import exchange as E, textops as X
 
 N, NUM, DEN = 3, 6, 10
-#: A gram that this share of documents has comes last in the order. At most (mean set size / share) grams can reach it, whatever the corpus.
-HOT_SHARE = 0.001
-#: So many grams may be set last; any order is right, so leaving out further ones costs only time.
-MOST_HOT = 2_000_000
+#: So many of the most frequent grams come last in the order. Any order is right: the number bounds what is broadcast (8 bytes each).
+MOST_HOT = 1_000_000
 BITS = 1024
 #: Pairs that one tile may hold before it is split.
 TILE_PAIRS = 200_000
 EXTRA = 20
+#: Records carry (half of) the hashes of their document's first grams: 2 of the hot ones and 2 of the others. Pairs that share one meet only there.
+FIRSTS = 4
+SURE = 1 << 20
 #: Pairs that a worker holds before it sorts and passes them on, and rows of the batches it passes.
 HELD, ROWS = 800_000, 100_000
 
@@ -55,39 +56,43 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[np.ndarray, np.ndarra
         yield s.column("doc_id").to_numpy(), g, bounds
 
 
-def _hot(docs: DataFrame, n: int, share: float) -> np.ndarray:
-    """Grams of at least this share of some worker's block of documents."""
+def _hot(docs: DataFrame, n: int, most: int = MOST_HOT) -> np.ndarray:
+    """Up to ``most`` grams that most documents have, of those that occur in 3 documents of some worker's block. Ascending."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
-        texts = 0
+        size = 0
 
         def flush() -> pa.RecordBatch:
             g = np.sort(np.concatenate(held)) if held else np.zeros(0, X.U64)
             edge = X.runs(g)
-            found = np.flatnonzero(np.diff(edge) >= max(4, share * texts))
+            found = np.flatnonzero(np.diff(edge) >= 3)
             return pa.RecordBatch.from_arrays([pa.array(X.signed(g[edge[:-1]][found])), pa.array(np.diff(edge)[found])], ["g", "c"])
 
-        size = 0
         for b in batches:
-            for ids, g, _ in _sets(b, n):
+            for _, g, _ in _sets(b, n):
                 held.append(g)
-                texts += len(ids)
                 size += len(g)
                 if size > 3_000_000:
                     yield flush()
-                    held, texts, size = [], 0, 0
+                    held, size = [], 0
         yield flush()
 
-    found = docs.mapInArrow(count, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
-    rows = found.orderBy(F.desc("c")).limit(MOST_HOT).select("g").toArrow().column(0).to_numpy()
+    found = E.checkpoint(docs.mapInArrow(count, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c")))
+    # The least count of which no more than ``most`` grams are at or above it; counts beyond 10,000 are one class.
+    classes = found.groupBy(F.least("c", F.lit(10_000)).alias("c")).count().toArrow().sort_by([("c", "descending")])
+    upto = np.cumsum(classes.column("count").to_numpy())
+    good = int(np.searchsorted(upto, most, side="right"))
+    if not good:
+        return np.zeros(0, X.U64)
+    rows = found.filter(F.col("c") >= int(classes.column("c")[good - 1].as_py())).select("g").toArrow().column(0).to_numpy()
     return np.sort(np.ascontiguousarray(rows).view(X.U64))
 
 
 def _candidates(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
     """Pairs of classes (a < b as bigint) that share enough of their prefixes."""
     spark = docs.sparkSession
-    packer = E.Packer(E.width(spark), {"g": np.uint64}, {"c": np.int64, "size": np.uint32})
+    packer = E.Packer(E.width(spark), {"g": np.uint64}, {"c": np.int64, "size": np.uint32, **{f"first{k}": np.uint32 for k in range(FIRSTS)}})
     shared = spark.sparkContext.broadcast(hot)
 
     def source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,21 +110,28 @@ def _candidates(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray) ->
                 cool = np.bincount(doc[~late], minlength=len(ids))
                 place = np.where(late, cool[doc] + within - early, early)
                 at = np.flatnonzero(place < take[doc])
-                yield from packer.add(E.bucket_of(g[at], packer.buckets), doc[at], {"g": g[at]}, {"c": X.signed(class_of(g, bounds)), "size": size}, len(ids))
+                # Where a document has no such gram, a value of its own (of its class), which doesn't meet others'.
+                own = class_of(g, bounds)
+                firsts = {f"first{k}": (X.mix(own + X.U64(k)) & X.U64(0xFFFFFFFF)).astype(np.uint32) for k in range(FIRSTS)}
+                nth = np.where(late, within - early, early)
+                for k in range(FIRSTS):
+                    pick = np.flatnonzero((late == (k < 2)) & (nth == k % 2) & (place < take[doc]))
+                    firsts[f"first{k}"][doc[pick]] = (g[pick] & X.U64(0xFFFFFFFF)).astype(np.uint32)
+                yield from packer.add(E.bucket_of(g[at], packer.buckets), doc[at], {"g": g[at]}, {"c": X.signed(own), "size": size, **firsts}, len(ids))
         yield packer.flush()
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = packer.read(batches)
         g, c, size = got["g"], got["c"], got["size"].astype(np.int64)
+        firsts = np.stack([got[f"first{k}"] for k in range(FIRSTS)])
+        del got
         order = np.argsort(g)
         edge = X.runs(g[order])
-        many = np.repeat(np.diff(edge) > 1, np.diff(edge))
-        at = order[many]
-        g, c, size = g[at], c[at], size[at]
+        at = order[np.repeat(np.diff(edge) > 1, np.diff(edge))]
+        g, c, size, firsts = g[at], c[at], size[at], firsts[:, at]
         at = np.lexsort((c, size, g))
-        g, c, size = g[at], c[at], size[at]
-        at = X.runs(g, c)[:-1]
-        g, c, size = g[at], c[at], size[at]
+        at = at[X.runs(g[at], c[at])[:-1]]
+        g, c, size, firsts = g[at], c[at], size[at], firsts[:, at]
         edge = X.runs(g)
         key = (np.repeat(np.arange(len(edge) - 1), np.diff(edge)) << 34) + size
         reach = np.searchsorted(key, (key >> 34 << 34) + size * den // num, side="right")
@@ -128,15 +140,16 @@ def _candidates(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray) ->
         waiting = 0
 
         def pack() -> Iterator[pa.RecordBatch]:
-            a, b = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-            a, b = np.minimum(a, b), np.maximum(a, b)
+            a, b, left, right, times = (np.concatenate([x[k] for x in held]) for k in range(5))
             o = np.lexsort((b, a))
-            a, b = a[o], b[o]
-            e = X.runs(a, b)
-            a, b, many = a[e[:-1]], b[e[:-1]], np.diff(e).astype(np.int32)
+            a, b, left, right, times = a[o], b[o], left[o], right[o], times[o]
+            e = X.runs(a, b)[:-1]
+            times = np.minimum(np.add.reduceat(times, e), SURE).astype(np.int32) if len(e) else times.astype(np.int32)
+            a, b, left, right = a[e], b[e], left[e], right[e]
             for k in range(0, len(a), ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + ROWS]) for x in (a, b, many)], ["a", "b", "shared"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + ROWS]) for x in (a, b, left, right, times)], ["a", "b", "size_a", "size_b", "shared"])
 
+        low = (g & X.U64(0xFFFFFFFF)).astype(np.uint32)
         todo = np.flatnonzero(count > 0)
         ends = np.cumsum(count[todo])
         done = 0
@@ -146,7 +159,16 @@ def _candidates(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray) ->
             own = todo[done:upto]
             left = np.repeat(own, count[own])
             right = X.ranges(own + 1, reach[own])
-            held.append((c[left], c[right]))
+            least = np.full(len(left), 1 << 32, np.int64)
+            for x in range(FIRSTS):
+                for y in range(FIRSTS):
+                    same = np.flatnonzero(firsts[x, left] == firsts[y, right])
+                    least[same] = np.minimum(least[same], firsts[x, left[same]])
+            here = np.flatnonzero((least == 1 << 32) | (least == low[left]))
+            left, right = left[here], right[here]
+            turn = c[left] > c[right]
+            left, right = np.where(turn, right, left), np.where(turn, left, right)
+            held.append((c[left], c[right], size[left].astype(np.int32), size[right].astype(np.int32), np.where(least[here] == 1 << 32, 1, SURE)))
             waiting += len(left)
             if waiting > HELD:
                 yield from pack()
@@ -155,63 +177,48 @@ def _candidates(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray) ->
         if held:
             yield from pack()
 
-    met = E.regroup(docs, source, packer, reduce, "a bigint, b bigint, shared int")
-    return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    met = E.regroup(docs, source, packer, reduce, "a bigint, b bigint, size_a int, size_b int, shared int")
+    met = met.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
+    return met.filter(f"shared >= 1 + least(size_a, size_b) div {EXTRA}").select("a", "b", "size_a", "size_b")
 
 
-def _signatures(docs: DataFrame, n: int) -> DataFrame:
-    """class, size, doc_id and parity bitmap of every document that has grams."""
+def _classes(docs: DataFrame, n: int) -> DataFrame:
+    """class, size and doc_id of every document that has grams."""
 
     def source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, g, bounds in _sets(b, n):
-                doc = np.repeat(np.arange(len(ids)), np.diff(bounds))
-                bit = (X.mix(g ^ X.U64(0x94D049BB133111EB)) % X.U64(BITS)).astype(np.int64)
-                odd = np.zeros(len(ids) * BITS, np.uint8)
-                where, times = np.unique(doc * BITS + bit, return_counts=True)
-                odd[where] = times & 1
-                maps = np.packbits(odd.reshape(len(ids), BITS), axis=1)
                 at = np.flatnonzero(np.diff(bounds) > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(X.signed(class_of(g, bounds))[at]), pa.array(np.diff(bounds)[at].astype(np.int32)), pa.array(ids[at]), pa.array([maps[i].tobytes() for i in at], pa.binary())],
-                    ["class", "size", "doc_id", "bits"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(X.signed(class_of(g, bounds))[at]), pa.array(np.diff(bounds)[at].astype(np.int32)), pa.array(ids[at])], ["class", "size", "doc_id"])
 
-    return docs.mapInArrow(source, "class bigint, size int, doc_id bigint, bits binary")
+    return docs.mapInArrow(source, "class bigint, size int, doc_id bigint")
 
 
-def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose bitmaps don't rule out that they reach the threshold."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = len(b)
-            one, two = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(m, BITS // 64) for k in ("bits_a", "bits_b"))
-            size = b.column("size_a").to_numpy().astype(np.int64) + b.column("size_b").to_numpy()
-            most = (size - np.bitwise_count(one ^ two).sum(axis=1).astype(np.int64)) // 2
-            at = np.flatnonzero(most * den >= num * (size - most))
-            yield b.drop_columns(["bits_a", "bits_b"]).take(pa.array(at))
+def signature(g: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set: bit i is whether an odd number of its hashes fall on i."""
+    bit = (X.mix(g ^ X.U64(0x94D049BB133111EB)) % X.U64(BITS)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=BITS) & 1).astype(np.uint8)).view(np.uint64)
 
-    return pairs.mapInArrow(keep, "a bigint, b bigint, size_a int, size_b int, doc_a bigint, doc_b bigint")
 
-
-def _exact(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _exact(pairs: DataFrame, members: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """a, b, size_a, size_b, common of the pairs that reach the threshold; pairs is materialised."""
     swapped = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = swapped.groupBy("a").agg(F.min("b").alias("least"))
     tiled = pairs.join(least, "a").withColumn("tile", F.least("a", "least")).drop("least")
     parts = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE_PAIRS)).alias("parts"))
     tiled = E.checkpoint(tiled.join(parts, "tile").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts"))
-    members = tiled.select("tile", "part", F.col("doc_a").alias("doc_id"), F.col("a").alias("class")).union(tiled.select("tile", "part", "doc_b", "b")).distinct()
+    head = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    asked = tiled.select("tile", "part", F.col("a").alias("class")).distinct().union(tiled.select("tile", "part", "b").distinct()).distinct().join(head, "class")
+    asked = E.checkpoint(asked)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, g, bounds in _sets(b, n):
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(X.signed(class_of(g, bounds))), pa.array([g[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], ["doc_id", "class", "grams"])
 
-    sets = E.of_ids(docs, members.select("doc_id").distinct(), ["doc_id", "text"]).mapInArrow(arrays, "doc_id bigint, class bigint, grams binary")
+    sets = E.of_ids(docs, asked.select("doc_id").distinct(), ["doc_id", "text"]).mapInArrow(arrays, "doc_id bigint, class bigint, grams binary")
     none = F.lit(None)
-    rows = members.join(sets, ["doc_id", "class"]).select("tile", "part", "class", none.cast("bigint").alias("b"), none.cast("int").alias("size_a"), none.cast("int").alias("size_b"), "grams")
+    rows = asked.join(sets, ["doc_id", "class"]).select("tile", "part", "class", none.cast("bigint").alias("b"), none.cast("int").alias("size_a"), none.cast("int").alias("size_b"), "grams")
     rows = rows.union(tiled.select("tile", "part", F.col("a"), "b", "size_a", "size_b", none.cast("binary")))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +234,17 @@ def _exact(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Dat
             return
         t = pa.Table.from_batches(asked).sort_by("class")
         a, b = t.column("class").to_numpy(), t.column("b").to_numpy()
+        size_a, size_b = t.column("size_a").to_numpy(), t.column("size_b").to_numpy()
+        names = np.array(sorted(have))
+        bits = np.stack([signature(have[k]) for k in names.tolist()])
+        at_a, at_b = np.searchsorted(names, a), np.searchsorted(names, b)
+        both = size_a.astype(np.int64) + size_b
+        most = np.empty(len(a), np.int64)
+        for x in range(0, len(a), ROWS):
+            y = slice(x, x + ROWS)
+            most[y] = (both[y] - np.bitwise_count(bits[at_a[y]] ^ bits[at_b[y]]).sum(axis=1, dtype=np.int64)) // 2
+        at = np.flatnonzero(most * den >= num * (both - most))
+        a, b, size_a, size_b, both = a[at], b[at], size_a[at], size_b[at], both[at]
         common = np.zeros(len(a), np.int32)
         edge = X.runs(a)
         for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
@@ -236,9 +254,10 @@ def _exact(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Dat
                 hit = np.concatenate([[0], np.cumsum(E.has(own, np.concatenate(theirs)))])
                 ends = np.cumsum([len(k) for k in theirs])
                 common[z : z + len(theirs)] = np.diff(hit[np.concatenate([[0], ends])])
-        size_a, size_b = t.column("size_a").to_numpy(), t.column("size_b").to_numpy()
-        at = np.flatnonzero(common.astype(np.int64) * den >= num * (size_a.astype(np.int64) + size_b - common))
-        yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (a, b, size_a, size_b, common)], ["a", "b", "size_a", "size_b", "common"])
+        at = np.flatnonzero(common.astype(np.int64) * den >= num * (both - common))
+        for x in range(0, len(at), ROWS):
+            y = at[x : x + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(v[y]) for v in (a, b, size_a, size_b, common)], ["a", "b", "size_a", "size_b", "common"])
 
     return rows.repartition(E.width(docs.sparkSession), "tile", "part").mapInArrow(settle, "a bigint, b bigint, size_a int, size_b int, common int")
 
@@ -246,16 +265,9 @@ def _exact(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Dat
 def class_pairs(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
     """(pairs of classes: a, b, size_a, size_b, common; members: class, size, doc_id), both materialised."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    candidates = _candidates(docs, n, num, den, _hot(docs, n, HOT_SHARE))
-    signed = E.checkpoint(_signatures(docs, n))
-    members = signed.select("class", "size", "doc_id").distinct()
-    head = signed.groupBy("class").agg(F.min_by(F.struct("doc_id", "size", "bits"), "doc_id").alias("s")).select("class", "s.*")
-    one = head.select(F.col("class").alias("a"), F.col("doc_id").alias("doc_a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"))
-    two = head.select(F.col("class").alias("b"), F.col("doc_id").alias("doc_b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"))
-    met = candidates.join(one, "a").filter(f"shared >= 1 + (size_a * {num} div {den}) div {EXTRA}").join(two, "b")
-    met = met.filter(f"shared >= 1 + least(size_a, size_b) div {EXTRA} AND least(size_a, size_b) * {den} >= greatest(size_a, size_b) * {num}")
-    pairs = E.checkpoint(_bounded(met.select("a", "b", "size_a", "size_b", "doc_a", "doc_b", "bits_a", "bits_b"), num, den))
-    return E.checkpoint(_exact(pairs, docs, n, num, den)), members
+    members = E.checkpoint(_classes(docs, n).distinct())
+    pairs = E.checkpoint(_candidates(docs, n, num, den, _hot(docs, n)))
+    return E.checkpoint(_exact(pairs, members, docs, n, num, den)), members
 
 
 def near_pairs(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+# Workers share an executor's memory with the JVM: what Arrow frees goes back at once.
+pa.set_memory_pool(pa.system_memory_pool())
 #: Bytes of text that are handled at once; bounds a worker's memory (about 60 bytes of arrays a byte of text).
 SLICE_BYTES = 1 << 20
 
