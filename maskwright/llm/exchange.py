@@ -143,3 +143,12 @@ def of_ids(docs: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
             yield b.take(pa.array(found))
 
     return plan.mapInArrow(keep, plan.schema)
+
+
+#: Rows (of a few numbers) up to which a table is sent to all workers for a join.
+MOST_ROWS = 300_000
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it is small. It must be materialised, as its rows are counted; the join works either way."""
+    return F.broadcast(df) if df.limit(MOST_ROWS + 1).count() <= MOST_ROWS else df

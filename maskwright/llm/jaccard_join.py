@@ -178,7 +178,8 @@ def _candidates(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray) ->
             yield from pack()
 
     met = E.regroup(docs, source, packer, reduce, "a bigint, b bigint, size_a int, size_b int, shared int")
-    met = met.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
+    # A bucket has each pair once already: rows go straight to their place.
+    met = met.repartition(E.width(spark), "a").groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
     return met.filter(f"shared >= 1 + least(size_a, size_b) div {EXTRA}").select("a", "b", "size_a", "size_b")
 
 
@@ -202,11 +203,11 @@ def signature(g: np.ndarray) -> np.ndarray:
 
 def _exact(pairs: DataFrame, members: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """a, b, size_a, size_b, common of the pairs that reach the threshold; pairs is materialised."""
-    swapped = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = swapped.groupBy("a").agg(F.min("b").alias("least"))
-    tiled = pairs.join(least, "a").withColumn("tile", F.least("a", "least")).drop("least")
-    parts = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE_PAIRS)).alias("parts"))
-    tiled = E.checkpoint(tiled.join(parts, "tile").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts"))
+    # A group's pairs share a tile: that of the least class below theirs.
+    least = E.checkpoint(pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("least")))
+    tiled = pairs.join(E.lean(least), "a", "left").withColumn("tile", F.coalesce("least", "a")).drop("least")
+    parts = E.checkpoint(tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE_PAIRS)).alias("parts")))
+    tiled = tiled.join(E.lean(parts), "tile").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).drop("parts")
     head = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     asked = tiled.select("tile", "part", F.col("a").alias("class")).distinct().union(tiled.select("tile", "part", "b").distinct()).distinct().join(head, "class")
     asked = E.checkpoint(asked)
@@ -218,7 +219,7 @@ def _exact(pairs: DataFrame, members: DataFrame, docs: DataFrame, n: int, num: i
 
     sets = E.of_ids(docs, asked.select("doc_id").distinct(), ["doc_id", "text"]).mapInArrow(arrays, "doc_id bigint, class bigint, grams binary")
     none = F.lit(None)
-    rows = asked.join(sets, ["doc_id", "class"]).select("tile", "part", "class", none.cast("bigint").alias("b"), none.cast("int").alias("size_a"), none.cast("int").alias("size_b"), "grams")
+    rows = sets.join(E.lean(asked), ["doc_id", "class"]).select("tile", "part", "class", none.cast("bigint").alias("b"), none.cast("int").alias("size_a"), none.cast("int").alias("size_b"), "grams")
     rows = rows.union(tiled.select("tile", "part", F.col("a"), "b", "size_a", "size_b", none.cast("binary")))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,12 +274,16 @@ def class_pairs(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) ->
 def near_pairs(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_a < doc_b, common, size_a, size_b, jaccard: every pair of documents at or above the threshold."""
     pairs, members = class_pairs(docs, n, num, den)
-    one = members.select(F.col("class").alias("a"), F.col("doc_id").alias("d1"))
-    two = members.select(F.col("class").alias("b"), F.col("doc_id").alias("d2"))
+    paired = E.checkpoint(members.join(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "class"))
+    paired = E.lean(paired)
+    one = paired.select(F.col("class").alias("a"), F.col("doc_id").alias("d1"))
+    two = paired.select(F.col("class").alias("b"), F.col("doc_id").alias("d2"))
     across = pairs.join(one, "a").join(two, "b").filter("d1 <> d2")
     across = across.select(F.least("d1", "d2").alias("doc_a"), F.greatest("d1", "d2").alias("doc_b"), "common", F.when(F.col("d1") < F.col("d2"), F.col("size_a")).otherwise(F.col("size_b")).alias("size_a"), F.when(F.col("d1") < F.col("d2"), F.col("size_b")).otherwise(F.col("size_a")).alias("size_b"))
     same = members.select(F.col("class"), "size", F.col("doc_id").alias("doc_a")).join(members.select("class", F.col("doc_id").alias("doc_b")), "class").filter("doc_a < doc_b").select("doc_a", "doc_b", F.col("size").alias("common"), F.col("size").alias("size_a"), F.col("size").alias("size_b"))
     found = across.union(same).withColumn("jaccard", F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common")))
+    if members.groupBy("doc_id").count().filter("count > 1").limit(1).count() == 0:
+        return found  # each document is of one class, so each pair is there once
     return found.groupBy("doc_a", "doc_b").agg(F.max_by(F.struct("common", "size_a", "size_b", "jaccard"), F.struct("jaccard", "common", "size_a")).alias("m")).select("doc_a", "doc_b", "m.common", "m.size_a", "m.size_b", "m.jaccard")
 
 
