@@ -1,0 +1,6 @@
+"""Finding, replacing and auditing personal data in document text, as DataFrame plans."""
+
+from .config import Config
+from .plans.pipeline import Masker
+
+__all__ = ["Config", "Masker"]
