@@ -32,7 +32,7 @@ def clamp(box: Column, width: Column, height: Column) -> Column:
 
 def hull(polygon: Column) -> Column:
     """The box around a polygon of (x, y) points."""
-    xs, ys = (F.transform(polygon, lambda p, k=k: _side(p, k)) for k in (0, 1))
+    xs, ys = F.transform(polygon, lambda p: _side(p, 0)), F.transform(polygon, lambda p: _side(p, 1))
     return F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
