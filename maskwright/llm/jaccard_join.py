@@ -343,5 +343,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without doc_id, and documents without words, stay.
     """
-    gone = near_duplicates(docs).filter("doc_id <> keep").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = E.checkpoint(near_duplicates(docs).filter("doc_id <> keep").select(F.col("doc_id").alias("__gone")))
+    few = E.small_ids(gone)
+    if few is None:
+        return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    # Texts stay where they are: each task looks its rows up.
+    shared = docs.sparkSession.sparkContext.broadcast(few)
+
+    @F.arrow_udf("boolean")
+    def stays(ids: pa.Array) -> pa.Array:
+        found = E.has(shared.value, ids.fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.array(~(found & np.asarray(ids.is_valid())))
+
+    return docs.filter(stays(F.col("doc_id").cast("bigint")))
