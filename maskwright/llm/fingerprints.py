@@ -6,13 +6,15 @@ points or more are a document's features. Five 11-bit parts of a feature's hash
 chain begins. Two filters score 0 if they have no more bits in common than chance and a margin explain, 100 if one has all bits of the other;
 two digests score the mean, over the filters of the shorter, of the best score against the other's.
 
-Search: a document's keys are its 10 features of lowest hash. It is compared with the least doc_id that has one of its keys, for each key,
-and the best score is its match (ties: the least doc_id). So work grows with documents and not with the size of their groups; of documents
-that have an earlier one with a score of 60 or more, the share that is found is tested to be at least 0.9.
+Search: rows of equal digests are one class, and every class is compared with every other that a score above 0 is possible with. Two filters score
+above 0 only if they share more than MARGIN of the smaller one's features, so of each filter all features but the commonest MARGIN of them are its
+keys (their number grows with the text), and a key finds all filters with that feature that are no smaller; none is left out however many have it. A row's match is the best
+score of all rows of other doc_ids (ties: the least doc_id); pairs() has all scores. Pairs of compared classes grow with the square of a group's
+different digests. Bits that agree by chance count for a score but share no feature: digests of a few features may score with full filters that they have
+nothing in common with, and such pairs are not searched for. Of all pairs with a score of 60 or more, the share that is found is tested to be at least 0.9.
 
-Cases: null texts and texts without a feature (as a rule under 64 bytes) have no filter and no match. A very long text has a chain of filters. Rows without
-doc_id get a digest and no match. Rows that repeat a doc_id are digested each, never match themselves, and count with the first of their digests in
-order of bytes as others' match. Empty tables give empty results. Other columns are ignored.
+Cases: null texts and texts without a feature (always if under 142 bytes) have no filter and no match. A very long text has a chain of filters. Rows without doc_id get a digest and no match.
+Rows that repeat a doc_id are digested and matched each, and never match one another. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import exchange as E, textops as X, vocabulary as V
 
-WINDOW, POINTS, PER_FILTER, BITS, PARTS, KEYS = 64, 16, 160, 2048, 5, 10
+WINDOW, POINTS, PER_FILTER, BITS, PARTS = 64, 16, 160, 2048, 5
 LEVELS = 1000
 #: Windows of less entropy, of LEVELS, are never features: runs of few different bytes are in every document.
 LEAST_LEVEL = 100
@@ -94,8 +96,6 @@ def select(buf: np.ndarray, off: np.ndarray, rank: np.ndarray) -> tuple[np.ndarr
         size *= 2
     # Groups of WINDOW windows in a row within one text: both ends are valid and of one text.
     texts = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    if not len(low):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     last = np.arange(len(low)) + WINDOW - 1
     whole = (key[: len(low)] < none) & (key[last] < none) & (texts[: len(low)] == texts[last])
     best = low[whole]
@@ -104,27 +104,26 @@ def select(buf: np.ndarray, off: np.ndarray, rank: np.ndarray) -> tuple[np.ndarr
     return found, texts[found]
 
 
-def digests(text: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, list[bytes], list[np.ndarray]]:
-    """Features, filters on end, and keys of each text."""
+def digests(text: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, list[bytes], list[np.ndarray], list[list[int]]]:
+    """Number of features, filters on end, and the filters' distinct features on end with their numbers, of each text."""
     buf, off = X.utf8(text)
     at, doc = select(buf, off, rank)
     h = X.grams(X.mix(buf.astype(np.uint64) + X.U64(1)), WINDOW)[at]
     edge = np.searchsorted(doc, np.arange(len(off)))
-    filters, keys = [], []
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+    count, filters, keys, sizes = np.zeros(len(off) - 1, np.int64), [], [], []
+    for t, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
         own = h[a:b]
-        if not len(own):
-            filters.append(b"")
-            keys.append(own)
-            continue
+        count[t] = len(own)
         chain = (len(own) + PER_FILTER - 1) // PER_FILTER
         bits = np.zeros(chain * BITS, bool)
         nth = np.arange(len(own)) // PER_FILTER * BITS
         for p in range(PARTS):
             bits[nth + ((own >> X.U64(11 * p)) & X.U64(BITS - 1)).astype(np.int64)] = True
         filters.append(np.packbits(bits).tobytes())
-        keys.append(np.unique(own)[:KEYS])
-    return np.diff(edge), filters, keys
+        parts = [np.unique(own[x : x + PER_FILTER]) for x in range(0, len(own), PER_FILTER)]
+        keys.append(np.concatenate(parts) if parts else own)
+        sizes.append([len(x) for x in parts])
+    return count, filters, keys, sizes
 
 
 def compare(one: bytes, n_one: int, two: bytes, n_two: int) -> float:
@@ -145,6 +144,28 @@ def compare(one: bytes, n_one: int, two: bytes, n_two: int) -> float:
     return float(np.minimum(score, 100).max(axis=1).mean())
 
 
+def compare_all(one: list[bytes], n_one: np.ndarray, two: list[bytes], n_two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of pairs of digests, and of the same pairs the other way round, which differ for chains of equal length."""
+    there = np.zeros(len(one))
+    flat = np.flatnonzero([len(a) == len(b) == BITS // 8 for a, b in zip(one, two)])
+    if len(flat):
+        a, b = (np.frombuffer(b"".join(x[i] for i in flat.tolist()), np.uint64).reshape(len(flat), -1) for x in (one, two))
+        common = np.bitwise_count(a & b).sum(axis=1, dtype=np.int64)
+        most = np.minimum(np.bitwise_count(a).sum(axis=1, dtype=np.int64), np.bitwise_count(b).sum(axis=1, dtype=np.int64))
+        q, size_a, size_b = 1 - 1 / BITS, n_one[flat] * PARTS, n_two[flat] * PARTS
+        chance = BITS * (1 - q**size_a - q**size_b + q ** (size_a + size_b))
+        cut = chance + MARGIN * (most - chance)
+        there[flat] = np.minimum(np.where(common > cut, 100 * (common - cut) / np.maximum(most - cut, 1e-9), 0.0), 100)
+    back = there.copy()
+    rest = np.ones(len(one), bool)
+    rest[flat] = False
+    for i in np.flatnonzero(rest).tolist():
+        there[i] = back[i] = compare(one[i], int(n_one[i]), two[i], int(n_two[i]))
+        if len(one[i]) == len(two[i]):
+            back[i] = compare(two[i], int(n_two[i]), one[i], int(n_one[i]))
+    return there, back
+
+
 def corpus_ranks(docs: DataFrame) -> np.ndarray:
     """Ranks of the levels by how often all windows of all texts have them."""
 
@@ -160,30 +181,106 @@ def corpus_ranks(docs: DataFrame) -> np.ndarray:
     return ranks_of(V.sum_arrays(docs.select("text"), count, LEVELS, 1)[:, 0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_features, n_filters, digest, match_id, match_score of each row; the last two are null without a match above 0."""
+def _made(docs: DataFrame) -> DataFrame:
+    """doc_id, n_features, digest, class (null without a feature), and keys and sizes: each filter's distinct features; materialised."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs))
 
     def source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in X.pieces(b):
-                n, filters, keys = digests(s.column("text"), shared.value)
-                yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(filters, pa.binary()), pa.array([X.signed(k).tolist() for k in keys], pa.list_(pa.int64()))], ["doc_id", "n_features", "digest", "keys"])
+                n, filters, keys, sizes = digests(s.column("text"), shared.value)
+                bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(bounds), pa.array(X.signed(np.concatenate(keys))))
+                yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(filters, pa.binary()), flat, pa.array(sizes, pa.list_(pa.int32()))], ["doc_id", "n_features", "digest", "keys", "sizes"])
+
+    made = docs.mapInArrow(source, "doc_id bigint, n_features int, digest binary, keys array<bigint>, sizes array<int>")
+    return E.checkpoint(made.withColumn("class", F.when(F.col("n_features") > 0, F.xxhash64("digest", "n_features"))))
+
+
+def _shared_features(known: DataFrame) -> DataFrame:
+    """feature, common (number of filters that have it), class, nth, size of its filters, of every feature that two classes or more have; materialised."""
+    packer = E.Packer(E.width(known.sparkSession), {"feature": np.uint64, "nth": np.uint32, "size": np.uint8}, {"class": np.int64})
+
+    def source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, sizes = b.column("keys"), b.column("sizes")
+            feature = keys.flatten().to_numpy().view(np.uint64)
+            size = sizes.flatten().to_numpy()
+            chain = np.diff(sizes.offsets.to_numpy())
+            text = np.repeat(np.arange(len(b)), chain)
+            nth = np.arange(len(text)) - np.repeat(np.cumsum(chain) - chain, chain)
+            text, nth, size = np.repeat(text, size), np.repeat(nth, size), np.repeat(size, size)
+            yield from packer.add(E.bucket_of(feature, packer.buckets), text, {"feature": feature, "nth": nth, "size": size}, {"class": b.column("class").to_numpy()}, len(b))
+        yield packer.flush()
 
-    made = E.checkpoint(docs.mapInArrow(source, "doc_id bigint, n_features int, digest binary, keys array<bigint>"))
-    known = made.filter("doc_id IS NOT NULL AND n_features > 0")
-    keyed = known.select("doc_id", F.explode("keys").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("doc_id").alias("to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    asked = keyed.join(first.select("key", "to"), "key").filter("doc_id <> to").select("doc_id", "to").distinct()
-    head = known.groupBy("doc_id").agg(F.min(F.struct("digest", "n_features")).alias("h")).select("doc_id", "h.*")
-    pairs = asked.join(head, "doc_id").join(head.select(F.col("doc_id").alias("to"), F.col("digest").alias("to_digest"), F.col("n_features").alias("to_n")), "to")
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = packer.read(batches)
+        order = np.lexsort((got["nth"], got["class"], got["feature"]))
+        got = {k: v[order] for k, v in got.items()}
+        first = X.runs(got["feature"], got["class"], got["nth"])[:-1]  # rows of a class have the same features
+        got = {k: v[first] for k, v in got.items()}
+        edge = X.runs(got["feature"])
+        common = np.diff(edge)
+        starts = X.runs(got["feature"], got["class"])[:-1]
+        several = np.bincount(np.searchsorted(edge, starts, side="right") - 1, minlength=len(common)) > 1
+        at = np.flatnonzero(np.repeat(several, common))
+        common = np.repeat(common, common)
+        for x in range(0, len(at), 100_000):
+            y = at[x : x + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(X.signed(got["feature"][y])), pa.array(common[y].astype(np.int64)), pa.array(got["class"][y]), pa.array(got["nth"][y].astype(np.int32)), pa.array(got["size"][y].astype(np.int32))], ["feature", "common", "class", "nth", "size"])
+
+    return E.checkpoint(E.regroup(known.select("class", "keys", "sizes"), source, packer, reduce, "feature bigint, common bigint, class bigint, nth int, size int"))
+
+
+def _class_scores(made: DataFrame) -> DataFrame:
+    """one, two, score (of one against two): every two different classes with a score above 0, both ways round; materialised."""
+    known = made.filter("doc_id IS NOT NULL AND class IS NOT NULL")
+    features = _shared_features(known)
+    own = W.partitionBy("class", "nth")
+    # Features that no other class has come first; what is left of a filter's keys are its rarest shared ones.
+    rest = F.col("size") - F.ceil(F.col("size") * MARGIN) + 1 - (F.col("size") - F.count(F.lit(1)).over(own))
+    keys = features.withColumn("rest", rest).withColumn("turn", F.row_number().over(own.orderBy("common", "feature"))).filter("turn <= rest")
+    met = keys.select("feature", F.col("class").alias("one"), F.col("size").alias("own")).join(features.select("feature", F.col("class").alias("two"), "size"), "feature").filter("one <> two AND own <= size")
+    pairs = E.checkpoint(met.select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).distinct())
+    asked = E.lean(E.checkpoint(pairs.select(F.col("one").alias("class")).union(pairs.select("two")).distinct()))
+    digest = known.select("class", "digest", "n_features").join(asked, "class", "left_semi").dropDuplicates(["class"])
+    both = pairs.join(digest.toDF("one", "digest", "n"), "one").join(digest.toDF("two", "to_digest", "to_n"), "two")
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = [compare(*x) for x in zip(*(b.column(k).to_pylist() for k in ("digest", "n_features", "to_digest", "to_n")))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("to"), pa.array(score, pa.float64())], ["doc_id", "to", "score"])
+            there, back = compare_all(b.column("digest").to_pylist(), b.column("n").to_numpy(), b.column("to_digest").to_pylist(), b.column("to_n").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("one"), b.column("two"), pa.array(there)], ["one", "two", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("two"), b.column("one"), pa.array(back)], ["one", "two", "score"])
+
+    return E.checkpoint(both.mapInArrow(scores, "one bigint, two bigint, score double").filter("score > 0"))
+
+
+def _members(made: DataFrame) -> DataFrame:
+    return made.filter("doc_id IS NOT NULL AND class IS NOT NULL").select("class", "doc_id").distinct()
 
-    best = pairs.mapInArrow(scores, "doc_id bigint, to bigint, score double").filter("score > 0").groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "to")).alias("m"))
-    best = best.select("doc_id", F.col("m.to").alias("match_id"), (-F.col("m.s")).alias("match_score"))
-    return made.join(best, "doc_id", "left").select("doc_id", "n_features", (F.length("digest") * 8 / BITS).cast("int").alias("n_filters"), "digest", "match_id", "match_score")
+
+def pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, to, score: every two documents with a score above 0, both ways round; the best score of their rows."""
+    made = _made(docs)
+    members, scores = _members(made), _class_scores(made)
+    same = members.select("class").distinct().select(F.col("class").alias("one"), F.col("class").alias("two"), F.lit(100.0).alias("score"))
+    found = scores.union(same).join(members.toDF("one", "doc_id"), "one").join(members.toDF("two", "to"), "two").filter("doc_id <> to")
+    return found.groupBy("doc_id", "to").agg(F.max("score").alias("score"))
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_features, n_filters, digest, match_id, match_score of each row; the last two are null without a match above 0."""
+    made = _made(docs)
+    # A row needs its class' two best documents at most, as but one of them can be its own.
+    members = _members(made)
+    two = members.withColumn("turn", F.row_number().over(W.partitionBy("class").orderBy("doc_id"))).filter("turn <= 2").groupBy("class").agg(F.array_sort(F.collect_list("doc_id")).alias("least"))
+    two = E.checkpoint(two)
+    across = _class_scores(made).join(two.toDF("two", "least"), "two").select(F.col("one").alias("class"), "score", F.explode("least").alias("to"))
+    same = two.filter(F.size("least") > 1).select("class", F.lit(100.0).alias("score"), F.explode("least").alias("to"))
+    best = across.union(same).groupBy("class", "to").agg(F.max("score").alias("score"))
+    best = best.withColumn("turn", F.row_number().over(W.partitionBy("class").orderBy(F.desc("score"), "to"))).filter("turn <= 2")
+    best = best.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("turn", "to", "score"))).alias("best"))
+    best = E.lean(E.checkpoint(best))
+    match = F.get(F.filter("best", lambda x: x["to"] != F.col("doc_id")), F.lit(0))
+    return made.join(best, "class", "left").withColumn("m", match).select("doc_id", "n_features", (F.length("digest") * 8 / BITS).cast("int").alias("n_filters"), "digest", F.col("m.to").alias("match_id"), F.col("m.score").alias("match_score"))

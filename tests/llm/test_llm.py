@@ -134,6 +134,37 @@ def test_fingerprints_find_near_copies(spark):
     assert found >= 0.9 * n
 
 
+def _scores_by_brute_force(made):
+    """Score of every two documents (of one row each), from each one's side."""
+    rows = [r for r in made.select("doc_id", "digest", "n_features").collect() if r.n_features]
+    return {(a.doc_id, b.doc_id): fingerprints.compare(a.digest, a.n_features, b.digest, b.n_features) for a in rows for b in rows if a.doc_id != b.doc_id}
+
+
+def _prose(seed, words):
+    return " ".join(f"{w:x}" for w in np.random.default_rng(seed).integers(1 << 12, 1 << 34, words))
+
+
+def test_fingerprints_recall_of_all_pairs(spark):
+    passage, long = _prose(1, 60), [_prose(100 + k, 3000) for k in range(4)]
+    texts = [f"{_prose(200 + k, 40)} {passage}" for k in range(8)]  # an unrelated passage comes first, and holds its keys
+    texts += [f"{_prose(300 + k, 3)} {passage} {_prose(2, 250)} {_prose(400 + k, 3)}" for k in range(12)]  # a group of near copies
+    texts += [_prose(3, 90)] * 6 + long
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).cache()
+    made = fingerprints.fingerprints(docs).cache()
+    near = {k: v for k, v in _scores_by_brute_force(made).items() if v >= 60}
+    got = {(r.doc_id, r.to): r.score for r in fingerprints.pairs(docs).collect()}
+    group = [(a, b) for a in range(8, 20) for b in range(8, 20) if a != b]
+    assert all(p in near for p in group)
+    for some in (near, group):
+        assert sum(p in got for p in some) >= 0.9 * len(some)
+    assert all(got[p] == pytest.approx(near[p]) for p in near if p in got)
+    best = {r.doc_id: (r.match_id, r.match_score) for r in made.collect()}
+    for d, (to, score) in best.items():
+        mine = [(-s, b) for (a, b), s in got.items() if a == d]
+        assert (to, score) == ((min(mine)[1], pytest.approx(-min(mine)[0])) if mine else (None, None))
+    assert all(best[k][1] for k in range(8, 26)) and best[20][0] == 21 and best[21][0] == 20
+
+
 def test_mixture_fills_each_source(spark):
     docs = spark.createDataFrame([(k, "x" * (k % 50), None, "a" if k % 3 else "b", k % 50) for k in range(300)], DOCS)
     got = dict(mixing.copies(docs, {"a": 1, "b": 3}, 200).groupBy("source").agg(F.sum("copies")).collect())
