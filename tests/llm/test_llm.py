@@ -149,13 +149,15 @@ def test_fingerprints_recall_of_all_pairs(spark):
     texts = [f"{_prose(200 + k, 40)} {passage}" for k in range(8)]  # an unrelated passage comes first, and holds its keys
     texts += [f"{_prose(300 + k, 3)} {passage} {_prose(2, 250)} {_prose(400 + k, 3)}" for k in range(12)]  # a group of near copies
     texts += [_prose(3, 90)] * 6 + long
+    texts += [" ".join(t.split()[a : a + 70]) for t in long for a in range(50, 2900, 300)]  # short texts in long ones
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).cache()
     made = fingerprints.fingerprints(docs).cache()
     near = {k: v for k, v in _scores_by_brute_force(made).items() if v >= 60}
     got = {(r.doc_id, r.to): r.score for r in fingerprints.pairs(docs).collect()}
     group = [(a, b) for a in range(8, 20) for b in range(8, 20) if a != b]
-    assert all(p in near for p in group)
-    for some in (near, group):
+    inside = [(a, b) for a, b in near if b in range(26, 30) and a >= 30]
+    assert len(inside) >= 36 and all(p in near for p in group)
+    for some in (near, group, inside):
         assert sum(p in got for p in some) >= 0.9 * len(some)
     assert all(got[p] == pytest.approx(near[p]) for p in near if p in got)
     best = {r.doc_id: (r.match_id, r.match_score) for r in made.collect()}
