@@ -13,12 +13,14 @@ score of all rows of other doc_ids (ties: the least doc_id); pairs() has all sco
 different digests. Bits that agree by chance count for a score but share no feature: digests of a few features may score with full filters that they have
 nothing in common with, and such pairs are not searched for. Of all pairs with a score of 60 or more, the share that is found is tested to be at least 0.9.
 
-Cases: null texts and texts without a feature (always if under 142 bytes) have no filter and no match. A very long text has a chain of filters. Rows without doc_id get a digest and no match.
+Cases: null and empty texts have no filter and no match. A text in which no window has 16 points (always if under 142 bytes) has one feature: its window of most points, or of lowest rank
+if it has no whole group, or the whole text if it has no window with a rank. A very long text has a chain of filters. Rows without doc_id get a digest and no match.
 Rows that repeat a doc_id are digested and matched each, and never match one another. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,7 +84,7 @@ def ranks_of(counts: np.ndarray) -> np.ndarray:
 
 
 def select(buf: np.ndarray, off: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First bytes of the texts' features in order, and the texts they are in."""
+    """First bytes of the texts' features in order, and the texts they are in; texts without a window that has a rank have none."""
     level = levels(buf)
     n = len(level)
     if not n:
@@ -100,7 +102,17 @@ def select(buf: np.ndarray, off: np.ndarray, rank: np.ndarray) -> tuple[np.ndarr
     whole = (key[: len(low)] < none) & (key[last] < none) & (texts[: len(low)] == texts[last])
     best = low[whole]
     best = best[(best >> 40) < LEVELS] & ((np.int64(1) << 40) - 1)
-    found = np.flatnonzero(np.bincount(best, minlength=n) >= POINTS)
+    points = np.bincount(best, minlength=n)
+    found = np.flatnonzero(points >= POINTS)
+    bare = np.ones(len(off) - 1, bool)
+    bare[texts[found]] = False
+    more = []
+    for t in np.flatnonzero(bare & (np.diff(off) >= WINDOW)):
+        a, b = int(off[t]), int(off[t + 1]) - WINDOW + 1
+        at = a + int(points[a:b].argmax() if points[a:b].any() else key[a:b].argmin())
+        if key[at] >> 40 < LEVELS:
+            more.append(at)
+    found = np.sort(np.concatenate([found, np.array(more, np.int64)]))
     return found, texts[found]
 
 
@@ -113,6 +125,8 @@ def digests(text: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, list[bytes],
     count, filters, keys, sizes = np.zeros(len(off) - 1, np.int64), [], [], []
     for t, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
         own = h[a:b]
+        if not len(own) and off[t] < off[t + 1]:
+            own = np.frombuffer(hashlib.blake2b(buf[off[t] : off[t + 1]].tobytes(), digest_size=8).digest(), np.uint64)
         count[t] = len(own)
         chain = (len(own) + PER_FILTER - 1) // PER_FILTER
         bits = np.zeros(chain * BITS, bool)

@@ -167,6 +167,14 @@ def test_fingerprints_recall_of_all_pairs(spark):
     assert all(best[k][1] for k in range(8, 26)) and best[20][0] == 21 and best[21][0] == 20
 
 
+def test_fingerprints_of_short_texts(spark):
+    short = ["é", "Call me at noon.", "x" * 64, _prose(5, 9), _prose(6, 14)[:141], "long " * 400]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(short * 2)] + [(20, ""), (21, None), (22, "y")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    assert all(got[k].match_id == (k + 6) % 12 and got[k].match_score == 100 for k in range(12))
+    assert [got[k].n_features for k in (20, 21, 22)] == [0, 0, 1] and got[22].match_id is None
+
+
 def test_mixture_fills_each_source(spark):
     docs = spark.createDataFrame([(k, "x" * (k % 50), None, "a" if k % 3 else "b", k % 50) for k in range(300)], DOCS)
     got = dict(mixing.copies(docs, {"a": 1, "b": 3}, 200).groupBy("source").agg(F.sum("copies")).collect())
