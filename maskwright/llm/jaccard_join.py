@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import exchange as E, textops as X
 
@@ -338,21 +338,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return components(links.union(own).filter("a <> b").distinct()).select(F.col("vertex").alias("doc_id"), F.col("label").alias("keep"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents that have a near duplicate of lower doc_id in their group; rows that repeat a kept doc_id are one row.
-
-    Rows without doc_id, and documents without words, stay.
-    """
-    gone = E.checkpoint(near_duplicates(docs).filter("doc_id <> keep").select(F.col("doc_id").alias("__gone")))
-    few = E.small_ids(gone)
+def _among(docs: DataFrame, ids: DataFrame, inside: bool) -> DataFrame:
+    """Rows of docs whose doc_id is (or else isn't) among ids (one materialised column, distinct); a null isn't."""
+    few = E.small_ids(ids)
     if few is None:
-        return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+        ids = ids.toDF("__id")
+        return docs.join(ids, docs["doc_id"].cast("bigint") == ids["__id"], "left_semi" if inside else "left_anti")
     # Texts stay where they are: each task looks its rows up.
     shared = docs.sparkSession.sparkContext.broadcast(few)
 
     @F.arrow_udf("boolean")
     def stays(ids: pa.Array) -> pa.Array:
         found = E.has(shared.value, ids.fill_null(0).to_numpy(zero_copy_only=False))
-        return pa.array(~(found & np.asarray(ids.is_valid())))
+        return pa.array((found & np.asarray(ids.is_valid())) == inside)
 
     return docs.filter(stays(F.col("doc_id").cast("bigint")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without the documents that have a near duplicate of lower doc_id in their group; rows that repeat a kept doc_id are one row.
+
+    That row is the first by text (nulls last), then by the other columns that have an order. Rows without doc_id, and documents without words, stay.
+    """
+    gone = E.checkpoint(near_duplicates(docs).filter("doc_id <> keep").select("doc_id"))
+    left = _among(docs, gone, False)
+    many = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("doc_id")
+    many = E.checkpoint(many)
+    if many.limit(1).count() == 0:
+        return left
+    order = [F.asc_nulls_last(f"`{c}`") for c in ["text", *(c for c, kind in docs.dtypes if c != "text" and "map<" not in kind and "variant" not in kind)]]
+    first = _among(left, many, True).withColumn("__turn", F.row_number().over(W.partitionBy(F.col("doc_id").cast("bigint")).orderBy(*order)))
+    return _among(left, many, False).union(first.filter("__turn = 1").drop("__turn"))

@@ -82,6 +82,16 @@ def test_keep_one_without_a_broadcast(odd, monkeypatch):
     assert sorted(str(r) for r in jaccard_join.keep_one(odd).collect()) == want
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_keep_one_row_of_a_repeated_document(spark, monkeypatch, most):
+    """A document that stays, though its rows repeat, alike or with other texts or none, is one row."""
+    monkeypatch.setattr(jaccard_join.E, "MOST_IDS", most)
+    alone = " ".join(f"other{k}" for k in range(60))
+    rows = [(1, PASSAGE, "en", "a", 5)] * 3 + [(2, PASSAGE, "en", "a", 5)] * 2 + [(3, "b " + alone, "en", "a", 1), (3, "a " + alone, "en", "b", 1), (3, None, "en", "a", 1), (4, None, "en", "a", 0), (4, None, "en", "a", 0), (5, "b", "en", "a", 1)] + [(None, PASSAGE, "en", "a", 5)] * 2
+    got = jaccard_join.keep_one(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, PASSAGE), (0, PASSAGE), (1, PASSAGE), (3, "a " + alone), (4, ""), (5, "b")]
+
+
 def test_encoding_is_that_of_a_library(spark):
     import tiktoken
 
