@@ -1,6 +1,9 @@
 """Language-model scoring by a hidden Markov model over words.
 
-How: the corpus' most frequent plain words are symbols of their own, the others share some symbols by hash. Baum-Welch: in each
+How: every plain word of the corpus is a symbol, so symbols grow with it. While states are trained, the most frequent words have emissions of their own
+and the others are tied by hash; then one more pass unties them: it sums each other word's expected counts by state over the corpus,
+in a table that is partitioned by word, and a word's emission is its tie's times its share of the tie's counts in that state. Texts get the
+rows of the words they have (joined by word, once for each chunk of texts), so no worker and not the driver holds the table. Baum-Welch: in each
 iteration every partition runs the scaled forward-backward recursion on its texts in blocks of 128 words and returns expected
 counts, which are summed over partitions in blocks of rows and make the next parameters. Scoring then computes the exact
 likelihood of each whole text: blocks after the first are reduced to transfer matrices by running the scaled forward recursion from
@@ -16,9 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from . import textops as X, vocabulary as V
+from . import exchange as E, textops as X, vocabulary as V
+
+#: Bytes of text that share the rows of their words.
+CHUNK = 8 << 20
+#: Share of a word's count that is spread over all states.
+SPREAD = 0.1
 
 WORDS, OTHERS, STATES, ITERATIONS, BLOCK, SEED = 4096, 64, 6, 3, 128, 5
 
@@ -138,6 +147,31 @@ def log_likelihood(model: Model, symbols: np.ndarray, first: np.ndarray) -> np.n
     return out
 
 
+def _expected_sums(docs: DataFrame, model: Model) -> np.ndarray:
+    """Over all texts, on end: expected emissions of each symbol by state, moves, starts, and a row with the log-likelihood first."""
+    symbols, states = model.emit.shape
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        m = shared.value
+        out = np.zeros((symbols + states + 2, states))
+        for b in batches:
+            for s in X.pieces(b):
+                w = X.plain_words(s.column("text"))
+                _, start, size = _blocks(w.first)
+                if len(start):
+                    begun, moved, emitted, log = expected(m, m.symbols(w.hash), start, size)
+                    out[:symbols] += emitted
+                    out[symbols : symbols + states] += moved
+                    out[-2] += begun
+                    out[-1, 0] += log
+        return out
+
+    got = V.sum_arrays(docs, counts, symbols + states + 2, states)
+    shared.unpersist()
+    return got
+
+
 def train(docs: DataFrame, words: int = WORDS, others: int = OTHERS, states: int = STATES, iterations: int = ITERATIONS, seed: int = SEED) -> tuple[Model, list[float]]:
     """A model of all texts, and the corpus' log-likelihood (of its blocks) before each iteration."""
     docs = docs.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
@@ -150,52 +184,141 @@ def train(docs: DataFrame, words: int = WORDS, others: int = OTHERS, states: int
     model = Model(known, np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), others)
     history = []
     for _ in range(iterations):
-        shared = docs.sparkSession.sparkContext.broadcast(model)
-
-        def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-            m = shared.value
-            out = np.zeros((symbols + states + 2, states))
-            for b in batches:
-                for s in X.pieces(b):
-                    w = X.plain_words(s.column("text"))
-                    _, start, size = _blocks(w.first)
-                    if len(start):
-                        begun, moved, emitted, log = expected(m, m.symbols(w.hash), start, size)
-                        out[:symbols] += emitted
-                        out[symbols : symbols + states] += moved
-                        out[-2] += begun
-                        out[-1, 0] += log
-            return out
-
-        got = V.sum_arrays(docs, counts, symbols + states + 2, states)
+        got = _expected_sums(docs, model)
         history.append(float(got[-1, 0]))
         emit = got[:symbols] + 0.1 / symbols * got[:symbols].sum(axis=0).clip(1) * base[:, None] / base.sum() + 1e-9
         move = got[symbols : symbols + states] + 1e-3
         begin = got[-2] + 1e-3
         model = Model(known, begin / begin.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), others)
-        shared.unpersist()
     return model, history
 
 
+def _scores(s: pa.RecordBatch, m: Model) -> pa.RecordBatch:
+    w = X.plain_words(s.column("text"))
+    n = np.diff(w.first)
+    log = log_likelihood(m, m.symbols(w.hash), w.first)
+    with np.errstate(over="ignore"):
+        perplexity = np.exp(-log / np.maximum(n, 1))
+    return pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(log), pa.array(perplexity, mask=n == 0)], ["doc_id", "n_words", "log_likelihood", "perplexity"])
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_words, log_likelihood, perplexity of each row."""
+    """doc_id, n_words, log_likelihood, perplexity of each row; the model's ties are symbols."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
             for s in X.pieces(b):
-                w = X.plain_words(s.column("text"))
-                n = np.diff(w.first)
-                log = log_likelihood(m, m.symbols(w.hash), w.first)
-                with np.errstate(over="ignore"):
-                    perplexity = np.exp(-log / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(log), pa.array(perplexity, mask=n == 0)], ["doc_id", "n_words", "log_likelihood", "perplexity"])
+                yield _scores(s, shared.value)
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(source, "doc_id bigint, n_words bigint, log_likelihood double, perplexity double")
 
 
+def _chunks(docs: DataFrame) -> DataFrame:
+    """doc_id, text, chunk: rows of about CHUNK bytes have a chunk in common; materialised, as chunks depend on the order of rows."""
+
+    def source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, seen = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            for s in X.pieces(b):
+                yield pa.RecordBatch.from_arrays([*s.columns, pa.array(np.full(len(s), first + seen // CHUNK, np.int64))], ["doc_id", "text", "chunk"])
+                seen += len(X.utf8(s.column("text"))[0])
+
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return E.checkpoint(docs.mapInArrow(source, "doc_id bigint, text string, chunk bigint"))
+
+
+def _sums(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, ascending, and the sums of their rows of counts."""
+    order = np.argsort(words, kind="stable")
+    edge = X.runs(words[order])[:-1]
+    return words[order][edge], np.add.reduceat(counts[order], edge, axis=0) if len(edge) else counts[:0]
+
+
+def untied(chunks: DataFrame, model: Model) -> DataFrame:
+    """chunk, words, counts: each tied word of a chunk with its expected counts by state in the whole corpus."""
+    shared = chunks.sparkSession.sparkContext.broadcast(model)
+    k = len(model.start)
+    states = [f"e{j}" for j in range(k)]
+    packer = E.Packer(E.width(chunks.sparkSession), {"word": np.uint64, **dict.fromkeys(states, np.float32)}, {"chunk": np.int64})
+
+    def source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        held: dict[int, list] = {}
+
+        def pack() -> Iterator[pa.RecordBatch]:
+            for c, parts in held.items():
+                words, counts = _sums(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+                yield from packer.add(E.bucket_of(words, packer.buckets), np.zeros(len(words), np.int64), {"word": words, **{n: counts[:, j] for j, n in enumerate(states)}}, {"chunk": np.array([c])}, 1)
+            held.clear()
+
+        for b in batches:
+            for c in np.unique(b.column("chunk").to_numpy()).tolist():
+                if c not in held:
+                    yield from pack()
+                at = np.flatnonzero(b.column("chunk").to_numpy() == c)
+                for s in X.pieces(b.slice(int(at[0]), len(at))):
+                    w = X.plain_words(s.column("text"))
+                    _, start, size = _blocks(w.first)
+                    if not len(start):
+                        continue
+                    own, index = np.unique(w.hash, return_inverse=True)
+                    ids = m.symbols(own)
+                    counts = expected(Model(own, m.start, m.move, m.emit[ids], 0), index, start, size)[2]
+                    tied = ids >= len(m.words)
+                    held.setdefault(c, []).append((own[tied], counts[tied]))
+        yield from pack()
+        yield packer.flush()
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = packer.read(batches)
+        words, sums = _sums(got["word"], np.stack([got[n] for n in states], axis=1).astype(np.float64))
+        order = np.argsort(got["chunk"], kind="stable")
+        edge = X.runs(got["chunk"][order])
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            own = np.unique(got["word"][order[a:b]])
+            count = sums[np.searchsorted(words, own)].astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([int(got["chunk"][order[a]])], pa.int64()), pa.array([X.planes(own)], pa.binary()), pa.array([X.planes(count.ravel())], pa.binary())], ["chunk", "words", "counts"])
+
+    return E.regroup(chunks, source, packer, reduce, "chunk bigint, words binary, counts binary")
+
+
+def score_untied(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_words, log_likelihood, perplexity of each row, by a model trained on docs, with emissions for every word of docs."""
+    chunks = _chunks(docs)
+    table = untied(chunks, model)
+    k, width = len(model.start), E.width(docs.sparkSession)
+    total = _expected_sums(chunks.select("text"), model)[len(model.words) : len(model.emit)]
+    total += SPREAD * total.sum(axis=1, keepdims=True)
+    shared = docs.sparkSession.sparkContext.broadcast((model, total))
+
+    def source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, whole = shared.value
+        texts, words, counts = [], [], []
+        for b in batches:
+            is_table = np.asarray(b.column("words").is_valid())
+            texts.append(b.filter(pa.array(~is_table)).select(["doc_id", "text"]))
+            for r in b.filter(pa.array(is_table)).select(["words", "counts"]).to_pylist():
+                n = len(r["words"]) // 8
+                words.append(X.unplanes(r["words"], np.uint64, n))
+                counts.append(X.unplanes(r["counts"], np.float32, n * k).reshape(n, k))
+        own, at = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_index=True)
+        count = np.concatenate([*counts, np.zeros((0, k), np.float32)])[at].astype(np.float64)
+        tie = V.ids_of(own[:0], own, m.others)
+        emit = m.emit[len(m.words) + tie] * (count + SPREAD * count.sum(axis=1, keepdims=True)) / np.maximum(whole[tie], 1e-300)
+        every = np.concatenate([m.words, own])
+        order = np.argsort(every)
+        local = Model(every[order], m.start, m.move, np.concatenate([np.concatenate([m.emit[: len(m.words)], emit])[order], np.full((1, k), 1e-300)]), 1)
+        for b in texts:
+            for s in X.pieces(b):
+                yield _scores(s, local)
+
+    rows = chunks.withColumns({"words": F.lit(None).cast("binary"), "counts": F.lit(None).cast("binary")})
+    rows = rows.unionByName(table.withColumns({"doc_id": F.lit(None).cast("bigint"), "text": F.lit(None).cast("string")}))
+    return rows.repartitionById(width, F.pmod(F.xxhash64("chunk"), F.lit(width)).cast("int")).mapInArrow(source, "doc_id bigint, n_words bigint, log_likelihood double, perplexity double")
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """docs' scores by a model trained on docs."""
-    return score(docs, train(docs)[0])
+    return score_untied(docs, train(docs)[0])

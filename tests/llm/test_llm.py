@@ -128,6 +128,24 @@ def test_training_raises_the_likelihood(spark):
     assert history == sorted(history)
 
 
+def test_every_word_has_its_own_emission(spark, monkeypatch):
+    """Emissions of all the corpus' words sum to 1 in each state's tie, and words of one tie that differ in count differ in score."""
+    monkeypatch.setattr(hmm_score, "CHUNK", 2000)
+    common = " ".join(f"w{k}" for k in range(5000))
+    texts = [common] * 3 + [f"junk{k}" for k in range(2000)] + ["seldom " * 40] + ["seldom"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).cache()
+    model, _ = hmm_score.train(docs)
+    got = {r.doc_id: r for r in hmm_score.score_untied(docs, model).collect()}
+    tied = {r.doc_id: r for r in hmm_score.score(docs, model).collect()}
+    assert len(got) == len(texts) and all(got[k].n_words == tied[k].n_words for k in got)
+    # What single words have together is what their ties have: the ties' probability is shared out among their words.
+    words = spark.createDataFrame([(k, f"w{k}") for k in range(5000)] + [(10_000 + k, f"junk{k}") for k in range(2000)] + [(20_000, "seldom")], "doc_id bigint, text string")
+    alone = hmm_score.score_untied(words, model).agg(F.sum(F.exp("log_likelihood"))).first()[0]
+    assert alone == pytest.approx(1, abs=0.02)
+    junk = [got[k].log_likelihood for k in range(3, 2003)]
+    assert all(got[k].log_likelihood < tied[k].log_likelihood - 1 for k in range(3, 2003)) and max(junk) < got[len(texts) - 1].log_likelihood
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     held = labels.filter("doc_id % 4 = 0")
