@@ -7,6 +7,7 @@ each holding whole numpy columns. Spark still does the partitioning, shuffling a
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,14 @@ from . import textops as X
 
 #: Records that a worker gathers before it passes them on.
 FLUSH = 700_000
+#: Bytes of an Arrow batch between the JVM and a worker, where the session doesn't say: both sides hold a batch or two, for each core.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, as texts are of any length; a session's own setting stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def width(spark: SparkSession) -> int:
@@ -43,6 +52,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in the shared folder for the length of an operator: compressed, read by column, and deleted by drop()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/scratch-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Deletes the tables; what was read from them must be materialised."""
+        remove(self.spark, *self.paths)
+        self.paths.clear()
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        where = hadoop(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Packer:
     """Gathers records (bucket, slot of a text, columns) and the texts' keys, and packs them by bucket."""
 
@@ -80,7 +114,9 @@ class Packer:
                 rows[k].append(X.planes(columns[k][a:b]))
             for k in self.keys:
                 rows[f"key_{k}"].append(X.planes(table[k][used]))
+        del order, bucket, slot, columns, table
         self._clear()
+        X.tidy()
         return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("texts", pa.int32()), *((k, pa.binary()) for k in rows if k not in ("bucket", "n", "texts"))]))
 
     def schema(self) -> str:

@@ -36,7 +36,7 @@ def queries() -> dict[str, Query]:
         "op7_quality_rules": _documents(quality_rules.quality_report),
         "op8_license_scan": _documents(license_scan.scan),
         "op9_hmm_score": _documents(hmm_score.scored),
-        "op10_ngram_jaccard_join": _documents(jaccard_join.near_pairs),
+        "op10_ngram_jaccard_join": _documents(jaccard_join.near_duplicates),
         "pipeline": pipeline,
     }
 
@@ -73,12 +73,17 @@ WHERE whole + CASE WHEN q IS NOT NULL AND nth <= many THEN 1 ELSE 0 END > 0"""
 
 def _jaccard_sql(n: int = jaccard_join.N, num: int = jaccard_join.NUM, den: int = jaccard_join.DEN) -> str:
     return rf"""
-WITH w AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '{_WORD}') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + {n - 1}], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - {n - 2}))) AS i FROM w WHERE len(ws) > 0)),
-s AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
-c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)
-SELECT doc_a, doc_b, CAST(common AS INTEGER) AS common, CAST(x.size AS INTEGER) AS size_a, CAST(y.size AS INTEGER) AS size_b, common::DOUBLE / (x.size + y.size - common)::DOUBLE AS jaccard
-FROM c JOIN s x ON doc_a = x.doc_id JOIN s y ON doc_b = y.doc_id WHERE common * {den} >= {num} * (x.size + y.size - common)"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+t AS MATERIALIZED (SELECT DISTINCT doc_id, list_sort(list_distinct([array_to_string(ws[i:i + {n - 1}], ' ') FOR i IN range(1, greatest(2, len(ws) - {n - 2}))])) AS grams FROM w WHERE len(ws) > 0),
+s AS MATERIALIZED (SELECT doc_id, grams, len(grams) AS size, row_number() OVER (ORDER BY doc_id, grams) AS u FROM t),
+g AS (SELECT u, unnest(grams) AS gram FROM s),
+c AS (SELECT a.u AS a, b.u AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.u < b.u GROUP BY a.u, b.u),
+p AS MATERIALIZED (SELECT x.u AS a, x.doc_id AS d, y.u AS b, y.doc_id AS e FROM c JOIN s x ON a = x.u JOIN s y ON b = y.u WHERE common * {den} >= {num} * (x.size + y.size - common)),
+l AS MATERIALIZED (SELECT d, e FROM p UNION ALL SELECT e, d FROM p),
+n AS (SELECT d AS doc_id, count(*) AS n_links FROM l GROUP BY d),
+o AS (SELECT DISTINCT d, e FROM l),
+r AS (SELECT doc_id, doc_id AS class_id FROM n UNION SELECT r.doc_id, o.e FROM r JOIN o ON r.class_id = o.d)
+SELECT n.doc_id, min(class_id) AS class_id, any_value(n_links) AS n_links FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY n.doc_id"""
 
 
 def _rules_sql() -> str:

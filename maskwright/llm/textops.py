@@ -13,6 +13,7 @@ except with a probability of about 2**-64 a pair.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,10 @@ import pyarrow.compute as pc
 U64 = np.uint64
 # Workers share an executor's memory with the JVM: what Arrow frees goes back at once.
 pa.set_memory_pool(pa.system_memory_pool())
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library, which has its own ways
+    _trim = None
 #: Bytes of text that are handled at once; bounds a worker's memory (about 60 bytes of arrays a byte of text).
 SLICE_BYTES = 1 << 20
 
@@ -49,6 +54,12 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and their heaps would stay as large as they ever were."""
+    if _trim is not None:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> U64(31))

@@ -1,6 +1,7 @@
 """Training-data operators: against their SQL, brute force or a public library, and their edge cases."""
 
 import base64
+import re
 from pathlib import Path
 
 import duckdb
@@ -35,7 +36,7 @@ ODD = [
 ]
 OPERATORS = {
     "repeats": suffix_dedup.repeat_spans, "drop_repeats": suffix_dedup.drop_repeats, "fingerprints": fingerprints.fingerprints, "copies": mixing.copies, "mix": mixing.mix, "encode": bpe.encode,
-    "rules": quality_rules.quality_report, "keep_good": quality_rules.keep_good, "licenses": license_scan.scan, "hmm": hmm_score.scored, "pairs": jaccard_join.near_pairs, "keep_one": jaccard_join.keep_one,
+    "rules": quality_rules.quality_report, "keep_good": quality_rules.keep_good, "licenses": license_scan.scan, "hmm": hmm_score.scored, "pairs": jaccard_join.near_pairs, "near": jaccard_join.near_duplicates, "keep_one": jaccard_join.keep_one,
     "classify": lambda d: quality_classifier.classify(d, d.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))),
 }
 CLASHES = ("g", "key", "bucket", "n", "label", "tokens", "copies", "a", "page")
@@ -69,6 +70,40 @@ def test_near_pairs_and_groups(odd):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in jaccard_join.keep_one(odd).collect()) == [(False, k) for k in (1, 4, 5, 6, 7, 8)] + [(True, 0)]
 
 
+def _grams(text):
+    words = re.findall(r"[a-z0-9]+", text)
+    return frozenset(zip(words, words[1:], words[2:]))
+
+
+def _edited(seed, base, edits):
+    rng = np.random.default_rng(seed)
+    words = base.split()
+    for k in rng.choice(len(words), edits, replace=False):
+        words[k] = f"z{rng.integers(1 << 40):x}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize(("many", "grams", "bits"), [(16, 1_500_000, 48), (2, 1500, 48), (2, 1_500_000, 20), (10_000, 1_500_000, 20)])
+def test_groups_against_brute_force(spark, monkeypatch, many, grams, bits):
+    """Groups of near copies, pairs and texts that share a passage: by tiles of lists, cut into blocks, by pairs, and where different grams meet by chance."""
+    monkeypatch.setattr(jaccard_join, "TILE_GRAMS", grams)
+    group, other, passage = _prose(11, 120), _prose(12, 90), _prose(13, 50)
+    texts = [_edited(k, group, k % 9) for k in range(70)] + [_edited(k, other, 4) for k in range(25)] + [group] * 3
+    texts += [f"{_prose(700 + k, 60)} {passage}" for k in range(30)] + [x for k in range(20) for x in (_prose(500 + k, 40 + k), _edited(k, _prose(500 + k, 40 + k), 3))]
+    docs = spark.createDataFrame([*enumerate(texts), (5, texts[75])], "doc_id bigint, text string").repartition(4).cache()
+    own = [(k, _grams(t)) for k, t in [*enumerate(texts), (5, texts[75])]]
+    near = [(a, b) for i, (a, x) in enumerate(own) for b, y in own[:i] if len(x & y) * 10 >= 6 * len(x | y)]
+    links, group = dict.fromkeys(range(len(texts)), 0), list(range(len(texts)))
+    for a, b in [*near, *[(5, 5)]]:
+        links[a] += a != b
+        links[b] += a != b
+        low, high = sorted((group[a], group[b]))
+        group = [low if x == high else x for x in group]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(docs, many=many, bits=bits).collect()}
+    assert len(near) > 1500 and got == {k: (group[k], n) for k, n in links.items() if n}
+    assert {(r.doc_a, r.doc_b) for r in jaccard_join.near_pairs(docs, many=many, bits=bits).collect()} == {(min(p), max(p)) for p in near}
+
+
 @pytest.mark.parametrize("edges", [[(1, 2), (2, 3), (7, 9)], [(1, 2), (4, 3), (2, 3), (6, 5), (5, 4), (10, 11)]])
 def test_components_agree(spark, edges):
     df = spark.createDataFrame(edges, "a bigint, b bigint")
@@ -232,12 +267,8 @@ def test_pipeline_stage_by_stage(spark):
     one = p.near_duplicates(spark, good, FOLDER).cache()
     con = duckdb.connect()
     con.register("documents", good.toPandas())
-    group = {k: k for k in kept}
-    find = lambda k: k if group[k] == k else find(group[k])
-    for r in con.execute(registered.oracle_sql()["op10_ngram_jaccard_join"]).fetchall():
-        a, b = sorted((find(r[0]), find(r[1])))
-        group[b] = a
-    assert {r.doc_id for r in one.collect()} == {k for k in kept if find(k) == k}
+    gone = {k for k, first, _ in con.execute(registered.oracle_sql()["op10_ngram_jaccard_join"]).fetchall() if k != first}
+    assert {r.doc_id for r in one.collect()} == kept - gone
     cut = p.repeats(spark, one, FOLDER).cache()
     assert suffix_dedup.repeat_spans(cut).filter("kind = 'drop'").count() == 0
     mixed = p.mixture(spark, cut, FOLDER).cache()
