@@ -2,9 +2,9 @@
 
 How: documents with the same set are one class; a set's grams are put in one global order, those of many documents
 last, the rest by hash. Of two sets that reach the threshold, the first (1 - t) n + l grams share at least l; so
-records of these grams meet in buckets, where size bands give each gram's compatible partners. Classes that have one of their
-first grams in common with many others go to a tile as a list, without their pairs; other pairs go on if they meet often enough, or at once where a
-shared gram is among the first of both. Lists that overlap are one tile, and a large tile is cut into blocks that meet two by two. The sorted hash arrays
+records of these grams meet in buckets, where size bands give each gram's compatible partners. Classes whose first hot
+gram, or second to fourth, is that of many others go to a tile as a list, without their pairs; other pairs go on if they meet often enough, or at once where a
+shared gram is among the first hot ones of both. Lists that overlap are one tile, and a large tile is cut into blocks that meet two by two. The sorted hash arrays
 of a tile's classes are gathered once: there, size bands and 1,024-bit parity signatures bound each overlap from above, and what is left is
 settled by exact intersection. A tile returns each class' number of links and a forest of its links, so no step's rows grow with the square of a group.
 
@@ -34,9 +34,8 @@ BITS = 1024
 #: Grams of a tile's block, and pairs that a tile of pairs may hold before it is split.
 TILE_GRAMS, TILE_PAIRS = 1_500_000, 200_000
 EXTRA = 20
-#: Records carry their document's first grams: HOT of the hot ones and COOL of the others. Pairs that share one meet only at the least of these.
-HOT, COOL = 4, 2
-FIRSTS = HOT + COOL
+#: Records carry the first of the hot grams in their document's prefix, which as a rule only copied texts have. Pairs that share one meet only at the least of these.
+FIRSTS = 4
 #: Grams meet by so many bits of their hashes. Grams of different texts that agree in these make candidates more; two of one text (about 1 of 10**9 texts of 700 words) count once.
 MEET = 48
 #: Classes with a first gram in common from which on they go to a tile as a list, not by pairs.
@@ -133,10 +132,10 @@ def prefixes(g: np.ndarray, bounds: np.ndarray, hot: np.ndarray, num: int, den:
     cool = np.bincount(doc[~late], minlength=len(size))
     place = np.where(late, cool[doc] + within - early, early)
     at = np.flatnonzero(place < take[doc])
-    nth = np.where(late, within - early, early)
+    nth = within - early
     firsts = np.zeros((FIRSTS, len(size)), np.uint64)
     for k in range(FIRSTS):
-        pick = at[(late[at] == (k < HOT)) & (nth[at] == (k if k < HOT else k - HOT))]
+        pick = at[late[at] & (nth[at] == k)]
         firsts[k, doc[pick]] = g[pick] & mask
     return at, doc[at], firsts
 
@@ -171,12 +170,16 @@ def meet(g: np.ndarray, c: np.ndarray, size: np.ndarray, firsts: np.ndarray, num
         members = np.sort(c[edge[k] : edge[k + 1]][own[edge[k] : edge[k + 1]]])
         yield "list", (np.full(len(members), members[0]), members)
     # Long lists by groups of equal firsts: only groups that have none in common (or this one, where there is no tile) have pairs here.
-    long = length > 4 * many
+    copied = np.add.reduceat((firsts > 0).any(axis=0).astype(np.int64), edge[:-1]) if len(length) else length
+    long = (length > 4 * many) & (copied * 2 > length)
     for k in np.flatnonzero(long).tolist():
         a = int(edge[k])
-        _, first, group = np.unique(firsts[:, a : edge[k + 1]], axis=1, return_index=True, return_inverse=True)
-        by = np.argsort(group.ravel(), kind="stable")
-        bounds = np.searchsorted(group.ravel()[by], np.arange(len(first) + 1))
+        equal = np.zeros(int(length[k]), np.uint64)
+        for x in firsts[:, a : edge[k + 1]]:
+            equal = X.mix(equal + x)
+        _, first, group = np.unique(equal, return_index=True, return_inverse=True)
+        by = np.argsort(group, kind="stable")
+        bounds = np.searchsorted(group[by], np.arange(len(first) + 1))
         kinds = firsts[:, a + first]
         for x in range(len(first)):
             least = least_common(kinds[:, x : x + 1], kinds[:, x:])
