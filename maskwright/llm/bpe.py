@@ -25,12 +25,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from . import textops as X
+from . import exchange as E, textops as X
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Distinct words that a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Words of up to so many bytes are merged in step, longer ones each by a heap.
 LOCKSTEP = 64
 _NONE = np.int64(1) << 40
@@ -280,6 +280,7 @@ def _arrays(codec: Codec, text: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]
 
 def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, drop_text: bool = False) -> DataFrame:
     """docs with ``tokens`` (array<int>), ``n_tokens`` and ``round_trip`` (decoding gave the text again), which is true of every text."""
+    E.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Codec(read_vocabulary(path), pattern))
     made = ("tokens", "n_tokens", "round_trip")
     other = [c for c in docs.columns if c not in made and not (drop_text and c == "text")]
@@ -290,6 +291,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, drop
         for b in batches:
             for s in X.pieces(b, "__bpe_text"):
                 yield pa.RecordBatch.from_arrays([*(s.column(c) for c in other), *_arrays(codec, s.column("__bpe_text"))], [*other, *made])
+        X.tidy()
 
     schema = docs.drop("__bpe_text").schema.add("tokens", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()).add("round_trip", T.BooleanType())
     return docs.mapInArrow(source, schema)

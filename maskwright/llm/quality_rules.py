@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import textops as X
+from . import exchange as E, textops as X
 
 TOP, DUP = (2, 3, 4), (5, 6, 7, 8, 9, 10)
 #: Highest share that is kept, per hundred.
@@ -119,6 +119,7 @@ def _reasons(m: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray]]:
 def kept(text: pa.Array) -> np.ndarray:
     """Whether the rules keep each text."""
     batch = pa.RecordBatch.from_arrays([text], ["text"])
+    X.tidy()
     return np.concatenate([np.zeros(0, bool), *(~np.any([x for _, x in _reasons(measure(p.column("text")))], axis=0) for p in X.pieces(batch))])
 
 
@@ -136,12 +137,14 @@ def quality_report(docs: DataFrame) -> DataFrame:
                     reasons[i] = ",".join(names[k] for k in np.flatnonzero(flags[:, i]))
                 yield pa.RecordBatch.from_arrays([s.column("doc_id"), *(pa.array(m[k].astype(np.int64)) for k in COUNTS), pa.array(reasons, pa.string()), pa.array(~flags.any(axis=0))], ["doc_id", *COUNTS, "reasons", "keep"])
 
+    E.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(source, "doc_id bigint, " + ", ".join(f"{k} bigint" for k in COUNTS) + ", reasons string, keep boolean")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, as they are."""
+    E.small_batches(docs.sparkSession)
 
     @F.arrow_udf("boolean")
     def good(text: pa.Array) -> pa.Array:

@@ -72,6 +72,7 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must be above {MODULUS}")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     width = E.width(docs.sparkSession)
+    E.small_batches(docs.sparkSession)
     samples = E.checkpoint(_samples(docs, length).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at")))
     able = E.of_ids(docs, samples.select("doc_id"), ["doc_id", "text"]).join(samples, "doc_id")
     buckets = E.Packer(width, {"prefix": np.uint64, "at": np.uint32}, {"doc_id": np.int64})

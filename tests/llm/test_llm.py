@@ -1,6 +1,8 @@
 """Training-data operators: against their SQL, brute force or a public library, and their edge cases."""
 
 import base64
+import hashlib
+import math
 import re
 from pathlib import Path
 
@@ -245,6 +247,52 @@ def test_mixture_fills_each_source(spark):
     assert mixing.mix(docs, {"a": 1, "b": 3}, 200).count() == 600
 
 
+def _pareto(rows, percent, seed=17):
+    """Copies by sorting each source: (doc_id, source, n_chars) to the copies of all such rows."""
+    sources = {}
+    for r in rows:
+        sources.setdefault(r[1], []).append((r[0], max(r[2] or 0, 0)))
+    weights = {k: math.isqrt(len(v)) for k, v in sources.items()}
+    out = {}
+    for source, own in sources.items():
+        n = len(rows) * percent // 100 * weights[source] // sum(weights.values())
+        measure = [1 + len(f"{c:b}") for _, c in own]
+        total, rank = sum(measure), []
+        for (d, c), m in zip(own, measure):
+            out[d, source, c] = out.get((d, source, c), 0) + n * m // total
+            left = n * m % total
+            u = (int(hashlib.md5(f"{seed}:{'null' if d is None else d}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            if left:
+                rank.append((u / (1 - u) * ((1 - left / total) / (left / total)), d or 0, c, d))
+        for _, _, c, d in sorted(rank, key=lambda x: x[:3])[: sum(n * m % total for m in measure) // total]:
+            out[d, source, c] += 1
+    return {k: v for k, v in out.items() if v}
+
+
+@pytest.mark.parametrize("most", [300_000, 0])
+@pytest.mark.parametrize("percent", [40, 170])
+def test_mix_against_brute_force(spark, monkeypatch, most, percent):
+    """Null sources, documents that repeat with equal and other texts, one that is a third of all rows; by a broadcast and by a join."""
+    monkeypatch.setattr(mixing.E, "MOST_ROWS", most)
+    monkeypatch.setattr(mixing, "BINS", 64)
+    rows = [(k, "x" * (k % 40), None, (None, "", "a", "b")[k % 4], k % 40) for k in range(200)]
+    rows += [(7, "same", None, "b", 9)] * 120 + [(9, f"other {k}", None, "a", 5) for k in range(30)] + [(None, "y", None, "a", None)] * 10
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    want = _pareto([(r[0], r[3], r[4]) for r in rows], percent)
+    count = {}
+    for r in mixing.mix(docs, percent=percent).collect():
+        key = (r.doc_id, r.source, max(r.n_chars or 0, 0))
+        count[key] = count.get(key, 0) + 1
+    assert count == want
+    assert {(r.doc_id, r.source): r.n for r in mixing.copies(docs, percent=percent).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect()} == {(d, s): sum(v for (x, y, _), v in want.items() if (x, y) == (d, s)) for d, s, _ in want}
+    assert {tuple(r) for r in mixing.mix(docs, percent=percent).collect()} <= set(rows)
+
+
+def test_mix_leaves_texts_where_they_are(spark):
+    plan = mixing.mix(spark.read.parquet(f"{FOLDER}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and not re.search(r"(?<!Broadcast)Exchange", plan)
+
+
 def test_html():
     page = "<html><body><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><p>" + "This is a long paragraph of real text in which things are told. " * 6 + "</p><script>var x</script></body></html>"
     text, n, kept = html_extract.content([page, None, "", "<p", "<" * 5000])
