@@ -6,15 +6,16 @@ points or more are a document's features. Five 11-bit parts of a feature's hash
 chain begins. Two filters score 0 if they have no more bits in common than chance and a margin explain, 100 if one has all bits of the other;
 two digests score the mean, over the filters of the shorter, of the best score against the other's.
 
-Search: rows of equal digests are one class, and every class is compared with every other that a score above 0 is possible with. Two filters score
-above 0 only if they share more than MARGIN of the smaller one's features, so of each filter all features but the commonest MARGIN of them are its
-keys (their number grows with the text), and a key finds all filters with that feature that are no smaller; none is left out however many have it. A row's match is the best
-score of all rows of other doc_ids (ties: the least doc_id); pairs() has all scores. Pairs of compared classes grow with the square of a group's
-different digests. Bits that agree by chance count for a score but share no feature: digests of a few features may score with full filters that they have
+Search: the queries are all rows whose doc_id is divisible by 50, and they are searched for among all rows. Rows of equal digests are one class. Every feature
+of every filter is in the index; of each filter the PROBES features of least hash (all, if it has fewer) ask for the filters that have them too and are no smaller, from a
+query's filter to any row's and from any row's to a query's. Two filters score above 0 only if they share more than MARGIN of the smaller one's
+features, so a pair is missed by all its probes with a chance of 0.7**16 at most. A key finds all filters with its feature, however many have it, and all pairs found are scored. A query's match
+is the best score of all rows of other doc_ids (ties: the least doc_id), and n_matches counts the documents of other classes that score above 0, and the other documents of its own class.
+Bits that agree by chance count for a score but share no feature: digests of a few features may score with full filters that they have
 nothing in common with, and such pairs are not searched for. Of all pairs with a score of 60 or more, the share that is found is tested to be at least 0.9.
 
 Cases: null and empty texts have no filter and no match. A text in which no window has 16 points (always if under 142 bytes) has one feature: its window of most points, or of lowest rank
-if it has no whole group, or the whole text if it has no window with a rank. A very long text has a chain of filters. Rows without doc_id get a digest and no match.
+if it has no whole group, or the whole text if it has no window with a rank. A very long text has a chain of filters. Rows without doc_id get a digest, aren't queries and match none.
 Rows that repeat a doc_id are digested and matched each, and never match one another. Empty tables give empty results. Other columns are ignored.
 """
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import exchange as E, textops as X, vocabulary as V
 
@@ -34,6 +35,8 @@ LEVELS = 1000
 #: Windows of less entropy, of LEVELS, are never features: runs of few different bytes are in every document.
 LEAST_LEVEL = 100
 MARGIN = 0.3
+#: Features of each filter that ask for others, and the divisor of the doc_ids that are queries.
+PROBES, QUERY = 16, 50
 
 _F = np.arange(WINDOW + 2) * np.log2(np.maximum(np.arange(WINDOW + 2), 1))
 _GAIN = np.diff(_F)  # what one more of a byte adds to the sum of c log c
@@ -195,8 +198,9 @@ def corpus_ranks(docs: DataFrame) -> np.ndarray:
     return ranks_of(V.sum_arrays(docs.select("text"), count, LEVELS, 1)[:, 0])
 
 
-def _made(docs: DataFrame) -> DataFrame:
-    """doc_id, n_features, digest, class (null without a feature), and keys and sizes: each filter's distinct features; materialised."""
+def _made(docs: DataFrame, scratch: E.Scratch) -> DataFrame:
+    """doc_id, n_features, digest, class (null without a feature), and keys and sizes: each filter's distinct features; in a table."""
+    E.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs))
 
@@ -207,65 +211,83 @@ def _made(docs: DataFrame) -> DataFrame:
                 bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(bounds), pa.array(X.signed(np.concatenate(keys))))
                 yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(filters, pa.binary()), flat, pa.array(sizes, pa.list_(pa.int32()))], ["doc_id", "n_features", "digest", "keys", "sizes"])
+        X.tidy()
 
     made = docs.mapInArrow(source, "doc_id bigint, n_features int, digest binary, keys array<bigint>, sizes array<int>")
-    return E.checkpoint(made.withColumn("class", F.when(F.col("n_features") > 0, F.xxhash64("digest", "n_features"))))
+    return scratch.write(made.withColumn("class", F.when(F.col("n_features") > 0, F.xxhash64("digest", "n_features"))))
 
 
-def _shared_features(known: DataFrame) -> DataFrame:
-    """feature, common (number of filters that have it), class, nth, size of its filters, of every feature that two classes or more have; materialised."""
-    packer = E.Packer(E.width(known.sparkSession), {"feature": np.uint64, "nth": np.uint32, "size": np.uint8}, {"class": np.int64})
+def _met(known: DataFrame) -> DataFrame:
+    """one (a query's class), two: different classes of which a filter's probe found a filter of the other. known: class, keys, sizes, asks."""
+    packer = E.Packer(E.width(known.sparkSession), {"feature": np.uint64, "size": np.uint8, "probe": np.uint8}, {"class": np.int64, "asks": np.uint8})
 
     def source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, sizes = b.column("keys"), b.column("sizes")
             feature = keys.flatten().to_numpy().view(np.uint64)
-            size = sizes.flatten().to_numpy()
+            size = sizes.flatten().to_numpy().astype(np.int64)
             chain = np.diff(sizes.offsets.to_numpy())
-            text = np.repeat(np.arange(len(b)), chain)
-            nth = np.arange(len(text)) - np.repeat(np.cumsum(chain) - chain, chain)
-            text, nth, size = np.repeat(text, size), np.repeat(nth, size), np.repeat(size, size)
-            yield from packer.add(E.bucket_of(feature, packer.buckets), text, {"feature": feature, "nth": nth, "size": size}, {"class": b.column("class").to_numpy()}, len(b))
+            text = np.repeat(np.repeat(np.arange(len(b)), chain), size)
+            # A filter's features are ascending in hash: its first ones are the probes.
+            turn = np.arange(len(feature)) - np.repeat(np.cumsum(size) - size, size)
+            yield from packer.add(E.bucket_of(feature, packer.buckets), text, {"feature": feature, "size": np.repeat(size, size), "probe": turn < PROBES}, {"class": b.column("class").to_numpy(), "asks": b.column("asks").to_numpy(zero_copy_only=False)}, len(b))
         yield packer.flush()
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = packer.read(batches)
-        order = np.lexsort((got["nth"], got["class"], got["feature"]))
-        got = {k: v[order] for k, v in got.items()}
-        first = X.runs(got["feature"], got["class"], got["nth"])[:-1]  # rows of a class have the same features
-        got = {k: v[first] for k, v in got.items()}
-        edge = X.runs(got["feature"])
-        common = np.diff(edge)
-        starts = X.runs(got["feature"], got["class"])[:-1]
-        several = np.bincount(np.searchsorted(edge, starts, side="right") - 1, minlength=len(common)) > 1
-        at = np.flatnonzero(np.repeat(several, common))
-        common = np.repeat(common, common)
-        for x in range(0, len(at), 100_000):
-            y = at[x : x + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(X.signed(got["feature"][y])), pa.array(common[y].astype(np.int64)), pa.array(got["class"][y]), pa.array(got["nth"][y].astype(np.int32)), pa.array(got["size"][y].astype(np.int32))], ["feature", "common", "class", "nth", "size"])
-
-    return E.checkpoint(E.regroup(known.select("class", "keys", "sizes"), source, packer, reduce, "feature bigint, common bigint, class bigint, nth int, size int"))
+        order = np.lexsort((got["class"], got["size"], got["feature"]))
+        feature, size, name, probe, asks = (got[k][order] for k in ("feature", "size", "class", "probe", "asks"))
+        probe, asks = probe > 0, asks > 0
+        del got
+        edge = X.runs(feature)
+        held: list = []
+        waiting = 0
+
+        def pack() -> pa.RecordBatch:
+            one, two = (np.concatenate(x) for x in zip(*held))
+            o = np.lexsort((two, one))
+            one, two = one[o], two[o]
+            first = X.runs(one, two)[:-1]
+            return pa.RecordBatch.from_arrays([pa.array(one[first]), pa.array(two[first])], ["one", "two"])
+
+        listed = np.diff(edge) > 1
+        listed &= np.add.reduceat(asks.astype(np.int64), edge[:-1]) > 0 if len(listed) else listed
+        for k in np.flatnonzero(listed).tolist():
+            a, b = int(edge[k]), int(edge[k + 1])
+            own = size[a:b].astype(np.int64)
+            for i in np.flatnonzero(asks[a:b]).tolist():
+                # Filters that are no smaller, where this is a probe, and the probes of those that are no larger.
+                near = (probe[a + i] & (own >= own[i])) | (probe[a:b] & (own <= own[i]))
+                near &= name[a:b] != name[a + i]
+                two = name[a:b][near]
+                held.append((np.full(len(two), name[a + i]), two))
+                waiting += len(two)
+            if waiting > 500_000:
+                yield pack()
+                held, waiting = [], 0
+        if held:
+            yield pack()
+        X.tidy()
+
+    return E.regroup(known.select("class", "keys", "sizes", "asks"), source, packer, reduce, "one bigint, two bigint").distinct()
 
 
 def _class_scores(made: DataFrame) -> DataFrame:
-    """one, two, score (of one against two): every two different classes with a score above 0, both ways round; materialised."""
-    known = made.filter("doc_id IS NOT NULL AND class IS NOT NULL")
-    features = _shared_features(known)
-    own = W.partitionBy("class", "nth")
-    # Features that no other class has come first; what is left of a filter's keys are its rarest shared ones.
-    rest = F.col("size") - F.ceil(F.col("size") * MARGIN) + 1 - (F.col("size") - F.count(F.lit(1)).over(own))
-    keys = features.withColumn("rest", rest).withColumn("turn", F.row_number().over(own.orderBy("common", "feature"))).filter("turn <= rest")
-    met = keys.select("feature", F.col("class").alias("one"), F.col("size").alias("own")).join(features.select("feature", F.col("class").alias("two"), "size"), "feature").filter("one <> two AND own <= size")
-    pairs = E.checkpoint(met.select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).distinct())
+    """one, two, score (of one against two): every class of a query with other classes that the index gives and a score above 0; materialised."""
+    known = made.filter("doc_id IS NOT NULL AND class IS NOT NULL").withColumn("asks", F.expr(f"doc_id % {QUERY} = 0"))
+    # Copies are one class: a row of each goes to the index, once it is known whether any of them asks.
+    asking = E.checkpoint(known.groupBy("class").agg(F.max("asks").alias("asks"), F.min("doc_id").alias("doc_id")))
+    heads = known.drop("asks").join(E.lean(asking), ["class", "doc_id"])
+    pairs = E.checkpoint(_met(heads))
     asked = E.lean(E.checkpoint(pairs.select(F.col("one").alias("class")).union(pairs.select("two")).distinct()))
-    digest = known.select("class", "digest", "n_features").join(asked, "class", "left_semi").dropDuplicates(["class"])
-    both = pairs.join(digest.toDF("one", "digest", "n"), "one").join(digest.toDF("two", "to_digest", "to_n"), "two")
+    digest = E.checkpoint(known.select("class", "digest", "n_features", "doc_id").join(E.lean(asking.select("class", "doc_id")), ["class", "doc_id"], "left_semi").join(asked, "class", "left_semi").select("class", "digest", "n_features").dropDuplicates(["class"]))
+    both = pairs.join(digest.toDF("two", "to_digest", "to_n"), "two").join(digest.toDF("one", "digest", "n"), "one")
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            there, back = compare_all(b.column("digest").to_pylist(), b.column("n").to_numpy(), b.column("to_digest").to_pylist(), b.column("to_n").to_numpy())
+            there, _ = compare_all(b.column("digest").to_pylist(), b.column("n").to_numpy(), b.column("to_digest").to_pylist(), b.column("to_n").to_numpy())
             yield pa.RecordBatch.from_arrays([b.column("one"), b.column("two"), pa.array(there)], ["one", "two", "score"])
-            yield pa.RecordBatch.from_arrays([b.column("two"), b.column("one"), pa.array(back)], ["one", "two", "score"])
+        X.tidy()
 
     return E.checkpoint(both.mapInArrow(scores, "one bigint, two bigint, score double").filter("score > 0"))
 
@@ -275,26 +297,39 @@ def _members(made: DataFrame) -> DataFrame:
 
 
 def pairs(docs: DataFrame) -> DataFrame:
-    """doc_id, to, score: every two documents with a score above 0, both ways round; the best score of their rows."""
-    made = _made(docs)
-    members, scores = _members(made), _class_scores(made)
+    """doc_id, to, score: every query (doc_id divisible by QUERY) with every other document that scores above 0; the best score of their rows."""
+    scratch = E.Scratch(docs.sparkSession)
+    made = _made(docs, scratch)
+    members, scores = E.checkpoint(_members(made)), _class_scores(made)
+    scratch.drop()
     same = members.select("class").distinct().select(F.col("class").alias("one"), F.col("class").alias("two"), F.lit(100.0).alias("score"))
-    found = scores.union(same).join(members.toDF("one", "doc_id"), "one").join(members.toDF("two", "to"), "two").filter("doc_id <> to")
+    found = scores.union(same).join(members.filter(f"doc_id % {QUERY} = 0").toDF("one", "doc_id"), "one").join(members.toDF("two", "to"), "two").filter("doc_id <> to")
     return found.groupBy("doc_id", "to").agg(F.max("score").alias("score"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_features, n_filters, digest, match_id, match_score of each row; the last two are null without a match above 0."""
-    made = _made(docs)
+    """doc_id, n_features, n_filters, digest of each row; of queries (doc_id divisible by QUERY) match_id, match_score and n_matches too, null for other rows.
+
+    A query without a match above 0 has null match_id and match_score and n_matches 0.
+    """
+    made = _made(docs, E.Scratch(docs.sparkSession))
     # A row needs its class' two best documents at most, as but one of them can be its own.
     members = _members(made)
-    two = members.withColumn("turn", F.row_number().over(W.partitionBy("class").orderBy("doc_id"))).filter("turn <= 2").groupBy("class").agg(F.array_sort(F.collect_list("doc_id")).alias("least"))
-    two = E.checkpoint(two)
-    across = _class_scores(made).join(two.toDF("two", "least"), "two").select(F.col("one").alias("class"), "score", F.explode("least").alias("to"))
+    of_class = members.groupBy("class").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("copies"))
+    second = members.join(E.lean(E.checkpoint(of_class)), "class").groupBy("class", "copies").agg(F.min("doc_id").alias("d"), F.min(F.when(F.col("doc_id") > F.col("d"), F.col("doc_id"))).alias("d2"))
+    two = E.checkpoint(second.select("class", "copies", F.array_compact(F.array("d", "d2")).alias("least")))
+    scores = _class_scores(made)
+    across = scores.join(two.toDF("two", "copies", "least"), "two").select(F.col("one").alias("class"), "score", "copies", "least")
+    number = across.groupBy("class").agg(F.sum("copies").alias("others"))
     same = two.filter(F.size("least") > 1).select("class", F.lit(100.0).alias("score"), F.explode("least").alias("to"))
-    best = across.union(same).groupBy("class", "to").agg(F.max("score").alias("score"))
-    best = best.withColumn("turn", F.row_number().over(W.partitionBy("class").orderBy(F.desc("score"), "to"))).filter("turn <= 2")
-    best = best.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("turn", "to", "score"))).alias("best"))
-    best = E.lean(E.checkpoint(best))
-    match = F.get(F.filter("best", lambda x: x["to"] != F.col("doc_id")), F.lit(0))
-    return made.join(best, "class", "left").withColumn("m", match).select("doc_id", "n_features", (F.length("digest") * 8 / BITS).cast("int").alias("n_filters"), "digest", F.col("m.to").alias("match_id"), F.col("m.score").alias("match_score"))
+    best = across.select("class", "score", F.explode("least").alias("to")).union(same).groupBy("class", "to").agg(F.max("score").alias("score"))
+    # The two best of a class by partial aggregation: a hot class' rows don't meet before they are few.
+    first = best.groupBy("class").agg(F.min(F.struct((-F.col("score")).alias("s"), "to")).alias("a"))
+    best = best.join(first, "class").groupBy("class", "a").agg(F.min(F.when(F.col("to") != F.col("a.to"), F.struct((-F.col("score")).alias("s"), "to"))).alias("b"))
+    best = two.select("class", "copies").join(best, "class", "left").join(number, "class", "left")
+    best = E.lean(E.checkpoint(best.select("class", "a", "b", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"))))
+    met = made.join(best, "class", "left")
+    is_query = F.coalesce(F.expr(f"doc_id % {QUERY} = 0"), F.lit(False))
+    m = F.when(is_query, F.when(F.col("a.to") != F.col("doc_id"), F.col("a")).otherwise(F.col("b")))
+    met = met.withColumns({"m": m, "n_matches": F.when(is_query, F.coalesce("n", F.lit(0)))})
+    return met.select("doc_id", "n_features", (F.length("digest") * 8 / BITS).cast("int").alias("n_filters"), "digest", F.col("m.to").alias("match_id"), (-F.col("m.s")).alias("match_score"), "n_matches")

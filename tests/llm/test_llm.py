@@ -1,6 +1,7 @@
 """Training-data operators: against their SQL, brute force or a public library, and their edge cases."""
 
 import base64
+import collections
 import hashlib
 import math
 import re
@@ -193,8 +194,8 @@ def test_classifier_on_held_out_labels(spark):
 
 def test_fingerprints_find_near_copies(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(150).select("doc_id", "text").filter("length(text) > 400")
-    near = docs.select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.concat(F.lit("A changed beginning. "), "text").alias("text"))
-    got = fingerprints.fingerprints(docs.union(near)).filter("doc_id >= 1000000")
+    near = docs.select(((F.col("doc_id") + 1_000_000) * 50).alias("doc_id"), F.concat(F.lit("A changed beginning. "), "text").alias("text"))
+    got = fingerprints.fingerprints(docs.union(near)).filter("doc_id >= 50000000")
     n, found = got.agg(F.count(F.lit(1)), F.sum((F.coalesce("match_score", F.lit(0)) >= 60).cast("int"))).first()
     assert found >= 0.9 * n
 
@@ -215,29 +216,60 @@ def test_fingerprints_recall_of_all_pairs(spark):
     texts += [f"{_prose(300 + k, 3)} {passage} {_prose(2, 250)} {_prose(400 + k, 3)}" for k in range(12)]  # a group of near copies
     texts += [_prose(3, 90)] * 6 + long
     texts += [" ".join(t.split()[a : a + 70]) for t in long for a in range(50, 2900, 300)]  # short texts in long ones
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).cache()
+    # Each text asks once, and stands once among the others.
+    docs = spark.createDataFrame([x for k, t in enumerate(texts) for x in ((50 * k, t), (50 * k + 1, t + f" {k}"))], "doc_id bigint, text string").repartition(3).cache()
     made = fingerprints.fingerprints(docs).cache()
-    near = {k: v for k, v in _scores_by_brute_force(made).items() if v >= 60}
+    every = _scores_by_brute_force(made)
+    near = {k: v for k, v in every.items() if v >= 60 and k[0] % 50 == 0}
     got = {(r.doc_id, r.to): r.score for r in fingerprints.pairs(docs).collect()}
-    group = [(a, b) for a in range(8, 20) for b in range(8, 20) if a != b]
-    inside = [(a, b) for a, b in near if b in range(26, 30) and a >= 30]
+    group = [(50 * a, 50 * b + c) for a in range(8, 20) for b in range(8, 20) for c in (0, 1) if a != b]
+    inside = [(a, b) for a, b in near if b // 50 in range(26, 30) and a // 50 >= 30]
     assert len(inside) >= 36 and all(p in near for p in group)
     for some in (near, group, inside):
         assert sum(p in got for p in some) >= 0.9 * len(some)
-    assert all(got[p] == pytest.approx(near[p]) for p in near if p in got)
-    best = {r.doc_id: (r.match_id, r.match_score) for r in made.collect()}
-    for d, (to, score) in best.items():
-        mine = [(-s, b) for (a, b), s in got.items() if a == d]
-        assert (to, score) == ((min(mine)[1], pytest.approx(-min(mine)[0])) if mine else (None, None))
-    assert all(best[k][1] for k in range(8, 26)) and best[20][0] == 21 and best[21][0] == 20
-
-
-def test_fingerprints_of_short_texts(spark):
+    assert all(d % 50 == 0 for d, _ in got) and all(got[p] == pytest.approx(every[p]) for p in got)
+    for r in made.collect():
+        mine = [(-s, b) for (a, b), s in got.items() if a == r.doc_id]
+        want = (None, None, None if r.doc_id % 50 else 0) if not mine else (min(mine)[1], pytest.approx(-min(mine)[0]), len(mine))
+        assert (r.match_id, r.match_score, r.n_matches) == want
+
+
+def test_fingerprint_digests_against_brute_force(spark):
+    """Windows' entropies, points and filters by plain loops."""
+    texts = [_prose(31, 400), _prose(32, 60), "aaaa bbbb " * 40, _prose(33, 12), "é" * 90]
+    count = collections.Counter()
+    level = {}
+    for t in texts:
+        raw = t.encode()
+        for i in range(len(raw) - 63):
+            c = collections.Counter(raw[i : i + 64]).values()
+            level[raw, i] = min(999, int((6 - sum(x * math.log2(x) for x in c) / 64) * 1000 / 6 + 1e-6))
+            count[level[raw, i]] += 1
+    rank = {k: r for r, k in enumerate(sorted(range(1000), key=lambda x: (count[x], x)))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    for r in fingerprints.fingerprints(docs).collect():
+        raw = texts[r.doc_id].encode()
+        n = len(raw) - 63
+        points = [0] * n
+        for i in range(n - 63):
+            best = min(range(i, i + 64), key=lambda j: (rank[level[raw, j]] if level[raw, j] >= 100 else 1000, j))
+            points[best] += level[raw, best] >= 100
+        want = sum(p >= 16 for p in points)
+        assert r.n_features == max(1, want) and r.n_filters == -(-r.n_features // 160) and len(r.digest) == 256 * r.n_filters
+        assert 0 < np.unpackbits(np.frombuffer(r.digest, np.uint8)).sum() <= 5 * r.n_features
+
+
+def test_fingerprints_of_short_and_repeated_texts(spark):
     short = ["é", "Call me at noon.", "x" * 64, _prose(5, 9), _prose(6, 14)[:141], "long " * 400]
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(short * 2)] + [(20, ""), (21, None), (22, "y")], "doc_id bigint, text string")
-    got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
-    assert all(got[k].match_id == (k + 6) % 12 and got[k].match_score == 100 for k in range(12))
-    assert [got[k].n_features for k in (20, 21, 22)] == [0, 0, 1] and got[22].match_id is None
+    docs = spark.createDataFrame([(50 * k, t) for k, t in enumerate(short * 2)] + [(1000, ""), (1050, None), (1100, "y"), (1150, "é"), (1150, "x" * 64), (1201, "y"), (None, "y")], "doc_id bigint, text string")
+    got = {}
+    for r in fingerprints.fingerprints(docs).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert all(got[50 * k][0].match_id == 50 * ((k + 6) % 12) and got[50 * k][0].match_score == 100 for k in range(12))
+    assert [got[k][0].n_features for k in (1000, 1050, 1100)] == [0, 0, 1] and got[1100][0].match_id == 1201 and got[1100][0].n_matches == 1
+    # Rows of one doc_id match apart; ties go to the least doc_id; a row that isn't a query or has no doc_id has no match.
+    assert sorted(r.match_id for r in got[1150]) == [0, 100] and got[0][0].n_matches == 2
+    assert got[1201][0].match_id is None and got[1201][0].n_matches is None and got[None][0].n_matches is None
 
 
 def test_mixture_fills_each_source(spark):
