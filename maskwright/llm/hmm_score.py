@@ -1,13 +1,13 @@
 """Language-model scoring by a hidden Markov model over words.
 
-How: every plain word of the corpus is a symbol, so symbols grow with it. While states are trained, the most frequent words have emissions of their own
-and the others are tied by hash; then one more pass unties them: it sums each other word's expected counts by state over the corpus,
-in a table that is partitioned by word, and a word's emission is its tie's times its share of the tie's counts in that state. Texts get the
-rows of the words they have (joined by word, once for each chunk of texts), so no worker and not the driver holds the table. Baum-Welch: in each
-iteration every partition runs the scaled forward-backward recursion on its texts in blocks of 128 words and returns expected
-counts, which are summed over partitions in blocks of rows and make the next parameters. Scoring then computes the exact
-likelihood of each whole text: blocks after the first are reduced to transfer matrices by running the scaled forward recursion from
-each state, and a text's matrices are applied in turn. All texts, and all words of each, take part in both.
+How: every plain word of the corpus has an emission of its own, so what is gathered grows with it. The most frequent words are symbols; the others are tied
+by hash to further symbols, and a tied word's emission is its symbol's times its share of the symbol's count in the corpus, the same in all
+states. So a text's likelihood is that of its symbols times its tied words' shares: the recursions need the symbols alone, and
+the shares' logarithms are summed by text where the words are counted, in buckets of words; neither texts nor the table of words go to a worker whole.
+
+Baum-Welch: in each iteration every partition runs the scaled forward-backward recursion on its texts, each from its first word to its last, and
+returns expected counts, which are summed over partitions in a tree and make the next parameters. Scoring computes the exact likelihood of each whole
+text by the scaled forward recursion. Texts are taken in step, pooled by length, so that a few long ones don't hold up many short ones. All texts, and all words of each, take part in both.
 
 Cases: a null, empty or wordless text has n_words 0, log_likelihood 0 and null perplexity. A text of any length is scored whole. Repeated
 rows count as often as they are there and score alike. Null doc_ids stay null. An empty table gives an empty result. Other columns are ignored.
@@ -19,24 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import exchange as E, textops as X, vocabulary as V
 
-#: Bytes of text that share the rows of their words.
-CHUNK = 8 << 20
-#: Share of a word's count that is spread over all states.
-SPREAD = 0.1
-
-WORDS, OTHERS, STATES, ITERATIONS, BLOCK, SEED = 4096, 64, 6, 3, 128, 5
+WORDS, OTHERS, STATES, ITERATIONS, SEED = 4096, 64, 6, 3, 5
+#: Texts up to so many words are taken in step with each other, once so many words have come together; longer ones are a pool of their own.
+POOLS = ((256, 400_000), (1024, 600_000), (4096, 800_000), (1 << 62, 1_000_000))
 
 
 class Model:
-    """start (K), move (K, K), emit (symbols, K) of a hidden Markov model, and the words of its symbols."""
+    """start (K), move (K, K), emit (symbols, K) of a hidden Markov model, the words of its first symbols, and how many words the others tie (by symbol)."""
 
-    def __init__(self, words: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, others: int = OTHERS):
+    def __init__(self, words: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, others: int = OTHERS, tied: np.ndarray | None = None):
         self.words, self.start, self.move, self.emit, self.others = words, start, move, emit, others
+        self.tied = np.ones(others) if tied is None else tied
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         return V.ids_of(self.words, hashes, self.others)
@@ -76,7 +73,6 @@ def expected(model: Model, symbols: np.ndarray, first: np.ndarray, size: np.ndar
     seen = symbols[where]
     states, scale = forward(model, seen, bounds, np.broadcast_to(model.start, (len(order), k)))
     moves = np.zeros((k, k))
-    gamma = np.empty_like(states)
     beta = np.zeros((0, k))
     for t in range(len(bounds) - 2, -1, -1):
         a, b = bounds[t], bounds[t + 1]
@@ -84,67 +80,61 @@ def expected(model: Model, symbols: np.ndarray, first: np.ndarray, size: np.ndar
         if len(beta):
             now[: len(beta)] = beta @ model.move.T
             moves += states[a : a + len(beta)].T @ beta
-        np.multiply(states[a:b], now, out=gamma[a:b])
-        beta = now * model.emit[seen[a:b]]
+        states[a:b] *= now  # from here on the probabilities of the states given the whole text
+        beta = now
+        beta *= model.emit[seen[a:b]]
         beta /= scale[a:b, None]
-    emits = np.stack([np.bincount(seen, gamma[:, j], len(model.emit)) for j in range(k)], axis=1)
-    return gamma[: bounds[1]].sum(axis=0) if len(bounds) > 1 else np.zeros(k), moves * model.move, emits, float(np.log(scale).sum())
-
-
-def _blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first word and length of blocks of at most BLOCK words; first: the texts' bounds in words."""
-    size = np.diff(first)
-    count = (size + BLOCK - 1) // BLOCK
-    text = np.repeat(np.arange(len(size)), count)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    start = first[text] + nth * BLOCK
-    return text, start, np.minimum(BLOCK, first[text + 1] - start)
-
-
-def log_likelihood(model: Model, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Exact log-likelihood of each text, whose words' bounds are ``first``."""
-    k, texts = len(model.start), len(first) - 1
-    text, start, size = _blocks(first)
-    out = np.zeros(texts)
-    head = np.ones(len(text), bool)
-    head[1:] = text[1:] != text[:-1]
-    # First blocks: one vector each.
-    own = np.flatnonzero(head)
-    order, where, bounds = _layout(start[own], size[own])
-    states, scale = forward(model, symbols[where], bounds, np.broadcast_to(model.start, (len(own), k)))
-    step = np.arange(len(where)) - np.repeat(bounds[:-1], np.diff(bounds))
-    out += np.bincount(text[own][order][step], np.log(scale), texts)
-    alpha = np.zeros((texts, k))
-    last = bounds[size[own][order] - 1] + np.arange(len(own))
-    alpha[text[own][order]] = states[last]
-    # Later blocks: a matrix each, from every state before the block to the states after it.
-    rest = np.flatnonzero(~head)
-    if len(rest):
-        matrix, logs = np.empty((len(rest), k, k)), np.empty((len(rest), k))
-        for c in range(0, len(rest), 1024):
-            part = rest[c : c + 1024]
-            order, where, bounds = _layout(start[part], size[part])
-            n = np.diff(bounds)
-            seen = np.repeat(symbols[where], k)
-            wide = bounds * k
-            begin = np.tile(model.move, (len(part), 1))
-            states, scale = forward(model, seen, wide, begin)
-            row = np.arange(len(seen)) - np.repeat(wide[:-1], n * k)
-            total = np.bincount(row, np.log(scale), len(part) * k).reshape(-1, k)
-            end = (bounds[size[part][order] - 1] + np.arange(len(part)))[:, None] * k + np.arange(k)
-            matrix[c + order], logs[c + order] = states[end], total
-        nth = np.arange(len(rest)) - np.repeat(X.runs(text[rest])[:-1], np.diff(X.runs(text[rest])))
-        by = np.argsort(nth, kind="stable")
-        edge = X.runs(nth[by])
-        for a, b in zip(edge[:-1], edge[1:]):
-            at = by[a:b]
-            t = text[rest[at]]
-            high = logs[at].max(axis=1)
-            now = np.einsum("ni,nij->nj", alpha[t] * np.exp(logs[at] - high[:, None]), matrix[at])
-            total = now.sum(axis=1)
-            alpha[t] = now / total[:, None]
-            out[t] += np.log(total) + high
-    return out
+    emits = np.stack([np.bincount(seen, states[:, j], len(model.emit)) for j in range(k)], axis=1)
+    return states[: bounds[1]].sum(axis=0) if len(bounds) > 1 else np.zeros(k), moves * model.move, emits, float(np.log(scale).sum())
+
+
+def log_likelihood(model: Model, symbols: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Exact log-likelihood of each sequence of symbols, which begins at first and has size of them."""
+    k = len(model.start)
+    out = np.zeros(len(size))
+    order, where, bounds = _layout(first, size)
+    seen = symbols[where]
+    now = np.broadcast_to(model.start, (len(order), k))
+    for t in range(len(bounds) - 1):
+        a, b = bounds[t], bounds[t + 1]
+        now = (now if t == 0 else now[: b - a] @ model.move)[: b - a] * model.emit[seen[a:b]]
+        scale = now.sum(axis=1)
+        out[: b - a] += np.log(scale)
+        now = now / scale[:, None]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+class Pools:
+    """Brings texts of like length together: add() and rest() give lists of parts (symbols, sizes, whatever belongs to the texts)."""
+
+    def __init__(self):
+        self.parts: list[list] = [[] for _ in POOLS]
+        self.words = [0] * len(POOLS)
+
+    def add(self, symbols: np.ndarray, first: np.ndarray, *own: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        size = np.diff(first)
+        low = 0
+        for p, (most, words) in enumerate(POOLS):
+            at = np.flatnonzero((size > low) & (size <= most))
+            low = most
+            if not len(at):
+                continue
+            self.parts[p].append((symbols[X.ranges(first[at], first[at + 1])], size[at], *(x[at] for x in own)))
+            self.words[p] += int(size[at].sum())
+            if self.words[p] > words:
+                yield self._take(p)
+
+    def _take(self, p: int) -> tuple[np.ndarray, ...]:
+        got = tuple(np.concatenate(x) for x in zip(*self.parts[p]))
+        self.parts[p], self.words[p] = [], 0
+        return got
+
+    def rest(self) -> Iterator[tuple[np.ndarray, ...]]:
+        for p in range(len(POOLS)):
+            if self.parts[p]:
+                yield self._take(p)
 
 
 def _expected_sums(docs: DataFrame, model: Model) -> np.ndarray:
@@ -155,16 +145,23 @@ def _expected_sums(docs: DataFrame, model: Model) -> np.ndarray:
     def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         m = shared.value
         out = np.zeros((symbols + states + 2, states))
+
+        def add(seen: np.ndarray, size: np.ndarray) -> None:
+            begun, moved, emitted, log = expected(m, seen, np.cumsum(size) - size, size)
+            out[:symbols] += emitted
+            out[symbols : symbols + states] += moved
+            out[-2] += begun
+            out[-1, 0] += log
+
+        pools = Pools()
         for b in batches:
             for s in X.pieces(b):
                 w = X.plain_words(s.column("text"))
-                _, start, size = _blocks(w.first)
-                if len(start):
-                    begun, moved, emitted, log = expected(m, m.symbols(w.hash), start, size)
-                    out[:symbols] += emitted
-                    out[symbols : symbols + states] += moved
-                    out[-2] += begun
-                    out[-1, 0] += log
+                for part in pools.add(m.symbols(w.hash), w.first):
+                    add(*part)
+        for part in pools.rest():
+            add(*part)
+        X.tidy()
         return out
 
     got = V.sum_arrays(docs, counts, symbols + states + 2, states)
@@ -173,7 +170,8 @@ def _expected_sums(docs: DataFrame, model: Model) -> np.ndarray:
 
 
 def train(docs: DataFrame, words: int = WORDS, others: int = OTHERS, states: int = STATES, iterations: int = ITERATIONS, seed: int = SEED) -> tuple[Model, list[float]]:
-    """A model of all texts, and the corpus' log-likelihood (of its blocks) before each iteration."""
+    """A model of all texts, and the log-likelihood of the corpus' symbols before each iteration."""
+    E.small_batches(docs.sparkSession)
     docs = docs.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     known, count, total = V.top_words(docs, words)
     rng = np.random.default_rng(seed)
@@ -189,136 +187,105 @@ def train(docs: DataFrame, words: int = WORDS, others: int = OTHERS, states: int
         emit = got[:symbols] + 0.1 / symbols * got[:symbols].sum(axis=0).clip(1) * base[:, None] / base.sum() + 1e-9
         move = got[symbols : symbols + states] + 1e-3
         begin = got[-2] + 1e-3
-        model = Model(known, begin / begin.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), others)
+        # The states of a word have probability 1 together, so a symbol's expected emissions add up to its count.
+        model = Model(known, begin / begin.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), others, np.rint(got[len(known) : symbols].sum(axis=1)))
     return model, history
 
 
-def _scores(s: pa.RecordBatch, m: Model) -> pa.RecordBatch:
-    w = X.plain_words(s.column("text"))
-    n = np.diff(w.first)
-    log = log_likelihood(m, m.symbols(w.hash), w.first)
-    with np.errstate(over="ignore"):
-        perplexity = np.exp(-log / np.maximum(n, 1))
-    return pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(log), pa.array(perplexity, mask=n == 0)], ["doc_id", "n_words", "log_likelihood", "perplexity"])
+def _text_key(w: X.Words) -> np.ndarray:
+    """A hash of each text's words in their order."""
+    place = (np.arange(len(w)) - w.first[w.doc]).astype(np.uint64)
+    total = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum(X.mix(w.hash + X.mix(place + X.U64(1))), out=total[1:])
+    return X.mix(total[w.first[1:]] - total[w.first[:-1]] + np.diff(w.first).astype(np.uint64))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_words, log_likelihood, perplexity of each row; the model's ties are symbols."""
+def symbol_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_words, words (a hash of the text's words), and log: the likelihood of its symbols, less the logarithm of each tied word's symbol's count."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "n_words", "words", "log"]
 
     def source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in X.pieces(b):
-                yield _scores(s, shared.value)
-
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(source, "doc_id bigint, n_words bigint, log_likelihood double, perplexity double")
-
+        m = shared.value
+        less = np.concatenate([np.zeros(len(m.words)), np.log(np.maximum(m.tied, 1))])
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, text, chunk: rows of about CHUNK bytes have a chunk in common; materialised, as chunks depend on the order of rows."""
+        def rows(seen: np.ndarray, size: np.ndarray, ids: np.ndarray, known: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+            first = np.cumsum(size) - size
+            log = log_likelihood(m, seen, first, size) - np.add.reduceat(less[seen], first)
+            return pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(size), pa.array(X.signed(key)), pa.array(log)], names)
 
-    def source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, seen = TaskContext.get().partitionId() << 32, 0
+        pools = Pools()
         for b in batches:
             for s in X.pieces(b):
-                yield pa.RecordBatch.from_arrays([*s.columns, pa.array(np.full(len(s), first + seen // CHUNK, np.int64))], ["doc_id", "text", "chunk"])
-                seen += len(X.utf8(s.column("text"))[0])
+                w = X.plain_words(s.column("text"))
+                ids = s.column("doc_id")
+                own = ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_valid()), _text_key(w)
+                for part in pools.add(m.symbols(w.hash), w.first, *own):
+                    yield rows(*part)
+                bare = np.flatnonzero(np.diff(w.first) == 0)
+                if len(bare):
+                    nothing = np.zeros(len(bare))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(bare)), pa.array(nothing.astype(np.int64)), pa.nulls(len(bare), pa.int64()), pa.array(nothing)], names)
+        for part in pools.rest():
+            yield rows(*part)
+        X.tidy()
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return E.checkpoint(docs.mapInArrow(source, "doc_id bigint, text string, chunk bigint"))
+    return docs.mapInArrow(source, "doc_id bigint, n_words bigint, words bigint, log double")
 
 
-def _sums(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words, ascending, and the sums of their rows of counts."""
-    order = np.argsort(words, kind="stable")
-    edge = X.runs(words[order])[:-1]
-    return words[order][edge], np.add.reduceat(counts[order], edge, axis=0) if len(edge) else counts[:0]
-
-
-def untied(chunks: DataFrame, model: Model) -> DataFrame:
-    """chunk, words, counts: each tied word of a chunk with its expected counts by state in the whole corpus."""
-    shared = chunks.sparkSession.sparkContext.broadcast(model)
-    k = len(model.start)
-    states = [f"e{j}" for j in range(k)]
-    packer = E.Packer(E.width(chunks.sparkSession), {"word": np.uint64, **dict.fromkeys(states, np.float32)}, {"chunk": np.int64})
+def tied_counts(docs: DataFrame, model: Model) -> DataFrame:
+    """words (a text's hash) and counts: the sum of the logarithms of its tied words' counts in the corpus, of every text that has tied words."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model.words)
+    packer = E.Packer(E.width(spark), {"word": np.uint64, "times": np.uint32}, {"text": np.int64, "copies": np.uint32})
 
     def source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        held: dict[int, list] = {}
-
-        def pack() -> Iterator[pa.RecordBatch]:
-            for c, parts in held.items():
-                words, counts = _sums(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
-                yield from packer.add(E.bucket_of(words, packer.buckets), np.zeros(len(words), np.int64), {"word": words, **{n: counts[:, j] for j, n in enumerate(states)}}, {"chunk": np.array([c])}, 1)
-            held.clear()
-
         for b in batches:
-            for c in np.unique(b.column("chunk").to_numpy()).tolist():
-                if c not in held:
-                    yield from pack()
-                at = np.flatnonzero(b.column("chunk").to_numpy() == c)
-                for s in X.pieces(b.slice(int(at[0]), len(at))):
-                    w = X.plain_words(s.column("text"))
-                    _, start, size = _blocks(w.first)
-                    if not len(start):
-                        continue
-                    own, index = np.unique(w.hash, return_inverse=True)
-                    ids = m.symbols(own)
-                    counts = expected(Model(own, m.start, m.move, m.emit[ids], 0), index, start, size)[2]
-                    tied = ids >= len(m.words)
-                    held.setdefault(c, []).append((own[tied], counts[tied]))
-        yield from pack()
+            for s in X.pieces(b):
+                w = X.plain_words(s.column("text"))
+                # Copies in a run of texts are taken together.
+                key, one, copies = np.unique(_text_key(w), return_index=True, return_counts=True)
+                turn = np.full(len(s), -1)
+                turn[one] = np.arange(len(one))
+                tied = np.flatnonzero((turn[w.doc] >= 0) & ~E.has(shared.value, w.hash))
+                order = tied[np.lexsort((w.hash[tied], w.doc[tied]))]
+                edge = X.runs(w.doc[order], w.hash[order])
+                at = order[edge[:-1]]
+                yield from packer.add(E.bucket_of(w.hash[at], packer.buckets), turn[w.doc[at]], {"word": w.hash[at], "times": np.diff(edge)}, {"text": X.signed(key), "copies": copies}, len(key))
         yield packer.flush()
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = packer.read(batches)
-        words, sums = _sums(got["word"], np.stack([got[n] for n in states], axis=1).astype(np.float64))
-        order = np.argsort(got["chunk"], kind="stable")
-        edge = X.runs(got["chunk"][order])
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            own = np.unique(got["word"][order[a:b]])
-            count = sums[np.searchsorted(words, own)].astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([int(got["chunk"][order[a]])], pa.int64()), pa.array([X.planes(own)], pa.binary()), pa.array([X.planes(count.ravel())], pa.binary())], ["chunk", "words", "counts"])
-
-    return E.regroup(chunks, source, packer, reduce, "chunk bigint, words binary, counts binary")
-
-
-def score_untied(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_words, log_likelihood, perplexity of each row, by a model trained on docs, with emissions for every word of docs."""
-    chunks = _chunks(docs)
-    table = untied(chunks, model)
-    k, width = len(model.start), E.width(docs.sparkSession)
-    total = _expected_sums(chunks.select("text"), model)[len(model.words) : len(model.emit)]
-    total += SPREAD * total.sum(axis=1, keepdims=True)
-    shared = docs.sparkSession.sparkContext.broadcast((model, total))
+        order = np.argsort(got["word"])
+        edge = X.runs(got["word"][order])
+        times, text, copies = got["times"][order].astype(np.int64), got["text"][order], got["copies"][order]
+        del got
+        if len(order):
+            count = np.add.reduceat(times * copies, edge[:-1])
+            log = times * np.repeat(np.log(count), np.diff(edge))
+            # A text that stands in several runs has a row of a word for each: all alike.
+            by = np.lexsort((np.repeat(np.arange(len(edge) - 1), np.diff(edge)), text))
+            one = by[X.runs(text[by], np.repeat(np.arange(len(edge) - 1), np.diff(edge))[by])[:-1]]
+            text, log = text[one], log[one]
+            first = X.runs(text)[:-1]
+            text, log = text[first], np.add.reduceat(log, first)
+            for a in range(0, len(text), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(text[a : a + 100_000]), pa.array(log[a : a + 100_000])], ["words", "counts"])
+        X.tidy()
+
+    found = E.regroup(docs.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL"), source, packer, reduce, "words bigint, counts double")
+    return found.groupBy("words").agg(F.sum("counts").alias("counts"))
 
-    def source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, whole = shared.value
-        texts, words, counts = [], [], []
-        for b in batches:
-            is_table = np.asarray(b.column("words").is_valid())
-            texts.append(b.filter(pa.array(~is_table)).select(["doc_id", "text"]))
-            for r in b.filter(pa.array(is_table)).select(["words", "counts"]).to_pylist():
-                n = len(r["words"]) // 8
-                words.append(X.unplanes(r["words"], np.uint64, n))
-                counts.append(X.unplanes(r["counts"], np.float32, n * k).reshape(n, k))
-        own, at = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_index=True)
-        count = np.concatenate([*counts, np.zeros((0, k), np.float32)])[at].astype(np.float64)
-        tie = V.ids_of(own[:0], own, m.others)
-        emit = m.emit[len(m.words) + tie] * (count + SPREAD * count.sum(axis=1, keepdims=True)) / np.maximum(whole[tie], 1e-300)
-        every = np.concatenate([m.words, own])
-        order = np.argsort(every)
-        local = Model(every[order], m.start, m.move, np.concatenate([np.concatenate([m.emit[: len(m.words)], emit])[order], np.full((1, k), 1e-300)]), 1)
-        for b in texts:
-            for s in X.pieces(b):
-                yield _scores(s, local)
 
-    rows = chunks.withColumns({"words": F.lit(None).cast("binary"), "counts": F.lit(None).cast("binary")})
-    rows = rows.unionByName(table.withColumns({"doc_id": F.lit(None).cast("bigint"), "text": F.lit(None).cast("string")}))
-    return rows.repartitionById(width, F.pmod(F.xxhash64("chunk"), F.lit(width)).cast("int")).mapInArrow(source, "doc_id bigint, n_words bigint, log_likelihood double, perplexity double")
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_words, log_likelihood, perplexity of each row, by a model that train() made of the same docs."""
+    rows = symbol_scores(docs, model)
+    # Copies of one text are a skewed key of narrow rows, which adaptive execution splits.
+    met = rows.join(tied_counts(docs, model), "words", "left").withColumn("log_likelihood", F.col("log") + F.coalesce("counts", F.lit(0.0)))
+    return met.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.exp(-F.col("log_likelihood") / F.col("n_words"))).alias("perplexity"))
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """docs' scores by a model trained on docs."""
-    return score_untied(docs, train(docs)[0])
+    return score(docs, train(docs)[0])

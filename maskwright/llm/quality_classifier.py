@@ -99,9 +99,11 @@ def word_vectors(docs: DataFrame, words: np.ndarray, labels: dict[int, tuple[int
                     rest[:, 1] += np.bincount(pair % ids, minlength=ids)
                     for k in range(2):
                         rest[:, 2 + k] += np.bincount(pair % ids, value[:, k], ids)
+        X.tidy()
         return np.concatenate([out.reshape(ids, DIMENSIONS), rest], axis=1).astype(np.float32)
 
-    got = V.sum_arrays(docs, make, ids, DIMENSIONS + 4, np.float32).astype(float)
+    # A partition's own sums fit float32; they are added up as float64.
+    got = V.sum_arrays(docs, make, ids, DIMENSIONS + 4, np.float32)
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     own = np.random.default_rng(SEED + 1).normal(size=(ids, DIMENSIONS))
     context = got[:, :DIMENSIONS]
@@ -185,6 +187,7 @@ def classify(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABEL
     """doc_id, p_quality, p_toxic and keep (p_quality at least and p_toxic under a half) of each row of docs."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
+    E.small_batches(spark)
     one = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     got = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).toArrow().to_pydict()
     marked = {k: (q, t) for k, q, t in zip(got["doc_id"], got["quality"], got["toxic"])}
@@ -205,7 +208,7 @@ def classify(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABEL
     ids = rows.column("doc_id").to_numpy()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, width).astype(float)
     order = np.argsort(ids, kind="stable")
-    network = Network().fit(x[order], np.array([marked[int(i)] for i in ids[order]], float)) if len(ids) >= 10 else None
+    network = Network().fit(x[order], np.array([marked[int(i)] for i in ids[order]], float)) if len(ids) else None
     final = spark.sparkContext.broadcast(network)
 
     def source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import exchange as E, textops as X
@@ -65,30 +66,51 @@ def ids_of(words: np.ndarray, hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.where(words[at] == hashes, at, other)
 
 
-#: Rows of an array that travel together.
-BLOCK = 1024
+#: Rows of an array that travel together, and how many partitions' arrays are added up first.
+BLOCK, FAN = 1024, 16
 
 
 def sum_arrays(df: DataFrame, make, rows: int, columns: int, kind: type = np.float64) -> np.ndarray:
-    """Sum over partitions of the (rows, columns) arrays that make(batches) returns; the driver gets one array, whatever the number of partitions."""
+    """Sum over partitions of the (rows, columns) arrays that make(batches) returns; the driver gets one array, whatever the number of partitions.
+
+    Arrays go from partitions as ``kind``; sums are float64, in order of partitions and in a tree, so that no task takes more than FAN blocks of each
+    sum it makes at once, and results don't depend on which task ends first.
+    """
     blocks = (rows + BLOCK - 1) // BLOCK
 
     def source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = np.ascontiguousarray(make(batches), kind)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array([whole[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(blocks)], pa.binary())], ["block", "data"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
-                x = np.frombuffer(x.as_buffer(), kind)
-                sums[k] = sums[k] + x if k in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "data"])
-
-    width = min(blocks, E.width(df.sparkSession))
-    got = df.mapInArrow(source, "block int, data binary").repartition(width, "block").mapInArrow(add, "block int, data binary").toArrow().to_pylist()
-    out = np.zeros((rows, columns), kind)
-    for r in got:
-        part = np.frombuffer(r["data"], kind).reshape(-1, columns)
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array(np.full(blocks, part, np.int32)), pa.array([whole[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(blocks)], pa.binary())], ["block", "part", "data"])
+
+    def add(own: type):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows come in order of block, group and part."""
+            now, total = None, None
+            out: list = []
+            for b in batches:
+                for block, part, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                    x = np.frombuffer(x.as_buffer(), own)
+                    if (block, part // FAN) == now:
+                        total = total + x
+                        continue
+                    if now:
+                        out.append((*now, total.tobytes()))
+                    now, total = (block, part // FAN), x.astype(np.float64)
+            if now:
+                out.append((*now, total.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["block", "part", "data"])
+
+        return run
+
+    width, many = E.width(df.sparkSession), df.rdd.getNumPartitions()
+    got, wire = df.mapInArrow(source, "block int, part int, data binary"), kind
+    while many > FAN:
+        got = got.repartition(width, "block", F.expr(f"part div {FAN}")).sortWithinPartitions("block", "part").mapInArrow(add(wire), "block int, part int, data binary")
+        wire, many = np.float64, -(-many // FAN)
+    got = got.repartition(min(blocks, width), "block").sortWithinPartitions("block", "part").mapInArrow(add(wire), "block int, part int, data binary").toArrow().to_pylist()
+    out = np.zeros((rows, columns))
+    for r in sorted(got, key=lambda r: (r["block"], r["part"])):
+        part = np.frombuffer(r["data"], np.float64).reshape(-1, columns)
         out[r["block"] * BLOCK : r["block"] * BLOCK + len(part)] += part
     return out

@@ -12,7 +12,7 @@ import numpy as np
 import oracle
 import pyarrow as pa
 import pytest
-from maskwright.llm import bpe, fingerprints, hmm_score, html_extract, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, queries as registered, suffix_dedup
+from maskwright.llm import bpe, fingerprints, hmm_score, html_extract, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, queries as registered, suffix_dedup, textops as X, vocabulary
 from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
@@ -149,7 +149,7 @@ def test_forward_recursion_is_exact():
     model = hmm_score.Model(np.zeros(0, np.uint64), np.full(k, 1 / k), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), symbols)
     sizes = [0, 1, 5, 128, 129, 700]
     seen = rng.integers(0, symbols, sum(sizes))
-    got = hmm_score.log_likelihood(model, seen, np.concatenate([[0], np.cumsum(sizes)]))
+    got = hmm_score.log_likelihood(model, seen, np.cumsum(sizes) - sizes, np.array(sizes))
     at = 0
     for n, log in zip(sizes, got):
         alpha, total = model.start, 0.0
@@ -161,27 +161,76 @@ def test_forward_recursion_is_exact():
         assert log == pytest.approx(total, abs=1e-6)
 
 
+def _baum_welch(texts, model):
+    """Expected starts, moves and emissions of whole texts by plain loops."""
+    k = len(model.start)
+    begun, moved, emitted, log = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape), 0.0
+    for seen in texts:
+        alpha, scale = [], []
+        for t, x in enumerate(seen):
+            now = (alpha[-1] @ model.move if t else model.start) * model.emit[x]
+            scale.append(now.sum())
+            alpha.append(now / scale[-1])
+        log += np.log(scale).sum()
+        beta = np.ones(k)
+        for t in range(len(seen) - 1, -1, -1):
+            gamma = alpha[t] * beta
+            emitted[seen[t]] += gamma
+            if t:
+                moved += np.outer(alpha[t - 1], model.emit[seen[t]] * beta / scale[t]) * model.move
+                beta = model.move @ (model.emit[seen[t]] * beta) / scale[t]
+            else:
+                begun += gamma
+    return begun, moved, emitted, log
+
+
+def test_baum_welch_counts_of_whole_texts(spark):
+    """One iteration over partitions and pools against plain loops over each text from its first word to its last."""
+    texts = [_prose(k, n) for k, n in enumerate([1, 2, 40, 300, 1500, 5000])] + ["the word the word", "", None, "the word the word"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    model, history = hmm_score.train(docs, words=50, others=8, states=3, iterations=2)
+    again, _ = hmm_score.train(docs, words=50, others=8, states=3, iterations=1)
+    symbols = [again.symbols(X.plain_words(pa.array([t])).hash) for t in texts if t]
+    begun, moved, emitted, log = _baum_welch(symbols, again)
+    assert history[1] == pytest.approx(log)
+    got = hmm_score._expected_sums(docs, again)
+    assert np.allclose(got[:58], emitted) and np.allclose(got[58:61], moved) and np.allclose(got[61], begun) and begun.sum() == pytest.approx(8)
+    assert np.allclose(model.start, (begun + 1e-3) / (begun + 1e-3).sum())
+    assert again.tied.tolist() == emitted[50:].sum(axis=1).round().tolist()
+
+
 def test_training_raises_the_likelihood(spark):
     _, history = hmm_score.train(spark.read.parquet(f"{FOLDER}/documents.parquet"))
     assert history == sorted(history)
 
 
-def test_every_word_has_its_own_emission(spark, monkeypatch):
-    """Emissions of all the corpus' words sum to 1 in each state's tie, and words of one tie that differ in count differ in score."""
-    monkeypatch.setattr(hmm_score, "CHUNK", 2000)
+def test_every_word_has_its_own_emission(spark):
+    """Emissions of all the corpus' words sum to 1, and a tied word's is its symbol's times its share."""
     common = " ".join(f"w{k}" for k in range(5000))
-    texts = [common] * 3 + [f"junk{k}" for k in range(2000)] + ["seldom " * 40] + ["seldom"]
+    texts = [common] * 3 + [f"junk{k}" for k in range(2000)] + ["seldom " * 40] + ["seldom", "seldom", "", None, "w1 w2 seldom junk5 w1"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).cache()
     model, _ = hmm_score.train(docs)
-    got = {r.doc_id: r for r in hmm_score.score_untied(docs, model).collect()}
-    tied = {r.doc_id: r for r in hmm_score.score(docs, model).collect()}
-    assert len(got) == len(texts) and all(got[k].n_words == tied[k].n_words for k in got)
-    # What single words have together is what their ties have: the ties' probability is shared out among their words.
-    words = spark.createDataFrame([(k, f"w{k}") for k in range(5000)] + [(10_000 + k, f"junk{k}") for k in range(2000)] + [(20_000, "seldom")], "doc_id bigint, text string")
-    alone = hmm_score.score_untied(words, model).agg(F.sum(F.exp("log_likelihood"))).first()[0]
-    assert alone == pytest.approx(1, abs=0.02)
-    junk = [got[k].log_likelihood for k in range(3, 2003)]
-    assert all(got[k].log_likelihood < tied[k].log_likelihood - 1 for k in range(3, 2003)) and max(junk) < got[len(texts) - 1].log_likelihood
+    got = {r.doc_id: r for r in hmm_score.score(docs, model).collect()}
+    count = collections.Counter(w for t in texts if t for w in t.split())
+    assert len(got) == len(texts) and got[2006].n_words == got[2007].n_words == 0 and got[2006].perplexity is None and got[2006].log_likelihood == 0
+    for k in (0, 3, 2003, 2004, 2008):
+        words = texts[k].split()
+        ids = model.symbols(X.plain_words(pa.array([texts[k]])).hash)
+        share = [math.log(count[w] / model.tied[i - len(model.words)]) for w, i in zip(words, ids) if i >= len(model.words)]
+        assert got[k].log_likelihood == pytest.approx(_baum_welch([ids], model)[3] + sum(share)) and got[k].n_words == len(words)
+        assert got[k].perplexity == pytest.approx(math.exp(-got[k].log_likelihood / len(words)))
+    ties = {i: sum(count[w] for w, j in zip(count, model.symbols(X.plain_words(pa.array([" ".join(count)])).hash)) if j == i) for i in range(len(model.words), len(model.emit))}
+    assert all(model.tied[i - len(model.words)] == n for i, n in ties.items())
+    assert got[2005].log_likelihood == got[2004].log_likelihood > max(got[k].log_likelihood for k in range(3, 2003))
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_sums_of_arrays(spark, parts):
+    def make(batches):
+        return np.full((1500, 3), float(sum(b.column(0).to_numpy().sum() for b in batches)))
+
+    got = vocabulary.sum_arrays(spark.range(400).repartition(parts), make, 1500, 3)
+    assert got.shape == (1500, 3) and (got == 400 * 399 / 2).all()
 
 
 def test_classifier_on_held_out_labels(spark):
