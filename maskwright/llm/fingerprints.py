@@ -37,6 +37,8 @@ LEAST_LEVEL = 100
 MARGIN = 0.3
 #: Features of each filter that ask for others, and the divisor of the doc_ids that are queries.
 PROBES, QUERY = 16, 50
+#: Pairs that one tile may hold before it is split.
+TILE_PAIRS = 200_000
 
 _F = np.arange(WINDOW + 2) * np.log2(np.maximum(np.arange(WINDOW + 2), 1))
 _GAIN = np.diff(_F)  # what one more of a byte adds to the sum of c log c
@@ -279,17 +281,38 @@ def _class_scores(made: DataFrame) -> DataFrame:
     asking = E.checkpoint(known.groupBy("class").agg(F.max("asks").alias("asks"), F.min("doc_id").alias("doc_id")))
     heads = known.drop("asks").join(E.lean(asking), ["class", "doc_id"])
     pairs = E.checkpoint(_met(heads))
-    asked = E.lean(E.checkpoint(pairs.select(F.col("one").alias("class")).union(pairs.select("two")).distinct()))
-    digest = E.checkpoint(known.select("class", "digest", "n_features", "doc_id").join(E.lean(asking.select("class", "doc_id")), ["class", "doc_id"], "left_semi").join(asked, "class", "left_semi").select("class", "digest", "n_features").dropDuplicates(["class"]))
-    both = pairs.join(digest.toDF("two", "to_digest", "to_n"), "two").join(digest.toDF("one", "digest", "n"), "one")
+    # Queries of a group share a tile, that of the least class that they met, so each digest goes there once; a large tile is cut by the other class.
+    least = E.checkpoint(pairs.groupBy("one").agg(F.min("two").alias("tile")))
+    tiled = pairs.join(E.lean(least), "one")
+    parts = E.checkpoint(tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE_PAIRS)).alias("parts")))
+    tiled = E.checkpoint(tiled.join(E.lean(parts), "tile").select("tile", F.pmod(F.xxhash64("two"), F.col("parts")).cast("int").alias("part"), "one", "two"))
+    asked = tiled.select("tile", "part", F.explode(F.array("one", "two")).alias("class")).distinct().join(asking, "class")
+    rows = known.select("class", "doc_id", "digest", "n_features").join(E.lean(E.checkpoint(asked)), ["class", "doc_id"])
+    rows = rows.select("tile", "part", F.col("class").alias("one"), F.lit(None).cast("bigint").alias("two"), "digest", "n_features")
+    rows = rows.union(tiled.select("tile", "part", "one", "two", F.lit(None).cast("binary"), F.lit(None).cast("int")))
+    rows = rows.repartition(E.width(made.sparkSession), "tile", "part").sortWithinPartitions("tile", "part", F.col("two").asc_nulls_first())
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, have = None, {}
         for b in batches:
-            there, _ = compare_all(b.column("digest").to_pylist(), b.column("n").to_numpy(), b.column("to_digest").to_pylist(), b.column("to_n").to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column("one"), b.column("two"), pa.array(there)], ["one", "two", "score"])
+            key = np.stack([b.column(k).to_numpy().astype(np.int64) for k in ("tile", "part")])
+            edge = X.runs(*key)
+            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if tuple(key[:, x].tolist()) != now:
+                    now, have = tuple(key[:, x].tolist()), {}
+                own = b.slice(x, y - x)
+                is_pair = own.column("two").is_valid()
+                given, asked_for = own.filter(pa.array(~np.asarray(is_pair))), own.filter(is_pair)
+                have.update(zip(given.column("one").to_pylist(), zip(given.column("digest").to_pylist(), given.column("n_features").to_pylist())))
+                one, two = asked_for.column("one"), asked_for.column("two")
+                for z in range(0, len(one), 5000):
+                    left, right = one.slice(z, 5000), two.slice(z, 5000)
+                    (mine, n), (theirs, m) = (zip(*(have[k] for k in side.to_pylist())) for side in (left, right))
+                    there, _ = compare_all(mine, np.array(n), theirs, np.array(m))
+                    yield pa.RecordBatch.from_arrays([left, right, pa.array(there)], ["one", "two", "score"])
         X.tidy()
 
-    return E.checkpoint(both.mapInArrow(scores, "one bigint, two bigint, score double").filter("score > 0"))
+    return E.checkpoint(rows.mapInArrow(scores, "one bigint, two bigint, score double").filter("score > 0"))
 
 
 def _members(made: DataFrame) -> DataFrame:
@@ -313,23 +336,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     A query without a match above 0 has null match_id and match_score and n_matches 0.
     """
     made = _made(docs, E.Scratch(docs.sparkSession))
-    # A row needs its class' two best documents at most, as but one of them can be its own.
-    members = _members(made)
-    of_class = members.groupBy("class").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("copies"))
-    second = members.join(E.lean(E.checkpoint(of_class)), "class").groupBy("class", "copies").agg(F.min("doc_id").alias("d"), F.min(F.when(F.col("doc_id") > F.col("d"), F.col("doc_id"))).alias("d2"))
+    members, scores = E.checkpoint(_members(made)), _class_scores(made)
+    asking = members.filter(f"doc_id % {QUERY} = 0").select("class").distinct()
+    # A row needs its class' two best documents at most, as but one of them can be its own. They are told by partial aggregation, as are the two least
+    # documents of a class: rows of a hot class don't meet before they are few.
+    needed = E.lean(E.checkpoint(scores.select(F.col("two").alias("class")).union(asking).distinct()))
+    own = members.join(needed, "class", "left_semi")
+    of_class = own.groupBy("class").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("copies"))
+    second = own.join(E.lean(E.checkpoint(of_class)), "class").groupBy("class", "d", "copies").agg(F.min(F.when(F.col("doc_id") > F.col("d"), F.col("doc_id"))).alias("d2"))
     two = E.checkpoint(second.select("class", "copies", F.array_compact(F.array("d", "d2")).alias("least")))
-    scores = _class_scores(made)
-    across = scores.join(two.toDF("two", "copies", "least"), "two").select(F.col("one").alias("class"), "score", "copies", "least")
+    across = scores.join(E.lean(two.toDF("two", "copies", "least")), "two").select(F.col("one").alias("class"), "score", "copies", "least")
     number = across.groupBy("class").agg(F.sum("copies").alias("others"))
-    same = two.filter(F.size("least") > 1).select("class", F.lit(100.0).alias("score"), F.explode("least").alias("to"))
-    best = across.select("class", "score", F.explode("least").alias("to")).union(same).groupBy("class", "to").agg(F.max("score").alias("score"))
-    # The two best of a class by partial aggregation: a hot class' rows don't meet before they are few.
-    first = best.groupBy("class").agg(F.min(F.struct((-F.col("score")).alias("s"), "to")).alias("a"))
-    best = best.join(first, "class").groupBy("class", "a").agg(F.min(F.when(F.col("to") != F.col("a.to"), F.struct((-F.col("score")).alias("s"), "to"))).alias("b"))
-    best = two.select("class", "copies").join(best, "class", "left").join(number, "class", "left")
-    best = E.lean(E.checkpoint(best.select("class", "a", "b", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"))))
-    met = made.join(best, "class", "left")
-    is_query = F.coalesce(F.expr(f"doc_id % {QUERY} = 0"), F.lit(False))
-    m = F.when(is_query, F.when(F.col("a.to") != F.col("doc_id"), F.col("a")).otherwise(F.col("b")))
-    met = met.withColumns({"m": m, "n_matches": F.when(is_query, F.coalesce("n", F.lit(0)))})
-    return met.select("doc_id", "n_features", (F.length("digest") * 8 / BITS).cast("int").alias("n_filters"), "digest", F.col("m.to").alias("match_id"), (-F.col("m.s")).alias("match_score"), "n_matches")
+    mine = E.checkpoint(two.join(E.lean(E.checkpoint(asking)), "class", "left_semi"))
+    same = mine.filter(F.size("least") > 1).select("class", F.lit(100.0).alias("score"), F.explode("least").alias("to"))
+    best = E.checkpoint(across.select("class", "score", F.explode("least").alias("to")).union(same).groupBy("class", "to").agg(F.max("score").alias("score")))
+    rank = F.struct((-F.col("score")).alias("s"), "to")
+    first = best.groupBy("class").agg(F.min(rank).alias("a"))
+    best = best.join(first, "class").groupBy("class", "a").agg(F.min(F.when(F.col("to") != F.col("a.to"), rank)).alias("b"))
+    best = mine.select("class", "copies").join(best, "class", "left").join(number, "class", "left")
+    best = E.checkpoint(best.select("class", "a", "b", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n")))
+    # Only queries meet their matches: the digests of other rows stay where they are.
+    queries = made.filter(f"doc_id % {QUERY} = 0").join(E.lean(best), "class", "left")
+    m = F.when(F.col("a.to") != F.col("doc_id"), F.col("a")).otherwise(F.col("b"))
+    shown = [F.col("doc_id"), F.col("n_features"), (F.length("digest") * 8 / BITS).cast("int").alias("n_filters"), F.col("digest")]
+    queries = queries.withColumn("m", m).select(*shown, F.col("m.to").alias("match_id"), (-F.col("m.s")).alias("match_score"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_matches"))
+    rest = made.filter(f"doc_id IS NULL OR doc_id % {QUERY} <> 0").select(*shown, F.lit(None).cast("bigint").alias("match_id"), F.lit(None).cast("double").alias("match_score"), F.lit(None).cast("bigint").alias("n_matches"))
+    return queries.unionByName(rest)
