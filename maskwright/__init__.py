@@ -3,4 +3,5 @@
 from .config import Config
 from .plans.pipeline import Masker
 
-__all__ = ["Config", "Masker"]
+__version__ = "0.2.0"
+__all__ = ["Config", "Masker", "__version__"]

@@ -28,8 +28,9 @@ def shorten(c: Column, most: int = 50) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """'3.2s', '2m 5s' or '1h 2m 3s'."""
-    whole = F.floor(seconds)
-    h, m, s = F.floor(whole / 3600), F.floor(F.pmod(whole, F.lit(3600)) / 60), F.pmod(whole, F.lit(60))
+    """'3.2s', '2m 6s' or '1h 2m 3s'."""
+    left = F.pmod(seconds, F.lit(60.0))
+    # The seconds are rounded on their own, halves to even, so 119.7 seconds are '1m 60s'.
+    h, m, s = F.floor(seconds / 3600).cast("bigint"), F.floor(F.pmod(seconds, F.lit(3600.0)) / 60).cast("bigint"), F.bround(left, 0).cast("bigint")
     text = F.when(seconds < 60, F.format_string("%.1fs", seconds)).when(seconds < 3600, F.format_string("%dm %ds", m, s))
     return text.otherwise(F.format_string("%dh %dm %ds", h, m, s))

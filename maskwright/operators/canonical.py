@@ -71,8 +71,11 @@ def _alike(known: DataFrame) -> DataFrame:
 def links(known: DataFrame) -> DataFrame:
     """(late, early, early_ord): keys and the earlier ones that they resemble."""
     known = known.withColumn("digits", F.regexp_replace("key", r"(?U)\D", ""))
-    equal = known.filter("digits <> ''").select("digits", F.col("key").alias("short"))
-    equal = equal.join(equal.select("digits", F.col("short").alias("long")), "digits").filter("short < long").select("short", "long")
+    # Digits tell for numbers alone, so only these look for others of equal digits: a hot "5" of addresses meets no other address.
+    equal = known.filter("digits <> ''").select("digits", F.col("key").alias("short"), "field_type")
+    equal = equal.filter(F.col("field_type").isin(*NUMERIC)).select("digits", "short").join(equal.select("digits", F.col("short").alias("long"), F.col("field_type").alias("kind")), "digits")
+    numbers = F.coalesce(_group(F.col("kind")), F.lit("id")).isin("id", "contact")
+    equal = equal.filter(numbers & (F.col("short") != F.col("long"))).select(F.least("short", "long").alias("short"), F.greatest("short", "long").alias("long")).distinct()
     why = {"text": _contained(known, "key", 4), "words": _alike(known), "digits": equal, "within": _contained(known, "digits", 8)}
     pairs = reduce(DataFrame.unionByName, (p.withColumn("why", F.lit(k)) for k, p in why.items()))
     one = known.select(F.col("key").alias("short"), F.struct("ord", "key", "field_type").alias("x"))

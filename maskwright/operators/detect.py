@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import patterns as P
@@ -19,12 +21,13 @@ def fields(df: DataFrame, **columns: Column | str) -> DataFrame:
     return df.select(*(given.get(c, F.lit(None)).cast(_TYPES[c]).alias(c) for c in COLUMNS))
 
 
-def by_patterns(blocks: DataFrame) -> DataFrame:
-    """The first match of each pattern in each block of 3 characters or more: one scan, whatever the number of patterns."""
+def by_patterns(blocks: DataFrame, names: Collection[str] | None = None) -> DataFrame:
+    """The first match of each pattern (of all, or those named) in each block of 3 characters or more: one scan, whatever the number of patterns."""
     text, conf = F.col("text"), F.coalesce("confidence", F.lit(0.5))
-    hits = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(p.name).alias("field_type"), P.first_hit(text, p).alias("hit"), P.confidence(conf, p).alias("sure"), F.array(*map(F.lit, p.regulations)).alias("regulations"), F.lit(p.risk).alias("risk_level")) for k, p in enumerate(P.PATTERNS)))
+    hits = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(p.name).alias("field_type"), P.first_hit(text, p).alias("hit"), P.confidence(conf, p).alias("sure"), F.array(*map(F.lit, p.regulations)).alias("regulations"), F.lit(p.risk).alias("risk_level")) for k, p in enumerate(P.PATTERNS) if names is None or p.name in names))
     found = blocks.filter((F.length("text") >= 3) & text.rlike(r"(?U)[@\d]")).select("doc_id", "page", "block_ord", "block_id", "text", "bbox", F.filter(hits, lambda h: h["hit"] != "").alias("hits"))
-    found = found.select("doc_id", "page", "block_ord", "block_id", F.col("text").alias("block"), "bbox", F.inline("hits"))
+    # An outer generator: of an inner one the optimizer would ask first whether it has rows, and run all patterns for that too.
+    found = found.select("doc_id", "page", "block_ord", "block_id", F.col("text").alias("block"), "bbox", F.inline_outer("hits")).filter("hit IS NOT NULL")
     order = F.lit(PATTERNS) + F.col("block_ord") * len(P.PATTERNS) + F.col("k")
     return fields(found, doc_id="doc_id", page="page", src_ord=order, block_id="block_id", field_type="field_type", text="hit", original_text="hit", full_text="block", bbox="bbox", confidence="sure", regulations="regulations", risk_level="risk_level", detection_method=F.lit("pattern_match"))
 

@@ -14,6 +14,10 @@ def field_context(page: Column, kind: Column, method: Column) -> Column:
 
 def dictionary(known: DataFrame, key: str, similar: bool = True, by_family: bool = True, mode: str = "dummy") -> DataFrame:
     """key, leader, replacement: made once for each leader, from its first raw value and type."""
+    if not similar:
+        # Every key leads: what is known of it is in its own row.
+        new = tokens.token(key, F.col("key"), tokens.namespace(F.col("field_type"))) if mode == "token" else dummy.replacement(key, F.col("raw"), F.col("field_type"), by_family)
+        return known.select("key", F.col("key").alias("leader"), new.alias("replacement"))
     led = canonical.leaders(known, similar)
     first = led.filter("key = leader").select("leader").join(known.withColumnRenamed("key", "leader"), "leader")
     if mode == "token":

@@ -68,3 +68,12 @@ def batch_summary(reports: DataFrame, failed: DataFrame) -> DataFrame:
     bad = failed.agg(F.count(F.lit(1)).alias("failed"), F.array_sort(F.collect_list(F.struct("document", "error"))).alias("failed_documents"))
     mean = F.when(F.col("successful") > 0, F.col("total_masked_fields") / F.col("successful")).otherwise(0.0)
     return totals.crossJoin(bad).crossJoin(types).select((F.col("successful") + F.col("failed")).alias("total_documents"), "successful", "failed", "total_pages", "total_masked_fields", F.round(mean, 2).alias("fields_per_document"), "by_type", "failed_documents")
+
+
+def console(reports: DataFrame, verification: DataFrame) -> str:
+    """Lines for a terminal: documents, pages and fields, the commonest types, and how verification went. Sums are made by Spark."""
+    n, pages, fields = reports.agg(F.count(F.lit(1)), F.coalesce(F.sum("total_pages"), F.lit(0)), F.coalesce(F.sum("total_masked_fields"), F.lit(0))).first()
+    kinds = reports.select(F.explode("masked_fields").alias("f")).groupBy("f.type").count().orderBy(F.desc("count"), "type").limit(10).collect()
+    status = verification.groupBy("status").count().orderBy("status").collect()
+    lines = [f"Documents: {n}", f"Pages: {pages}", f"Masked fields: {fields}", *(f"  {r.type}: {r['count']}" for r in kinds)]
+    return "\n".join([*lines, "Verification: " + (", ".join(f"{r.status} {r['count']}" for r in status) or "none")])

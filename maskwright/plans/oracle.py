@@ -204,7 +204,7 @@ def _leaks() -> str:
     all_ = " UNION ALL ".join(f"SELECT doc_id, page, '{k}' AS field_type, unnest(regexp_extract_all(full_text, {q(p)})) AS text FROM w" for k, p in forms.items())
     return rf"""{BLOCKS}, {_hits()}, w AS ({_full('b')}),
 p AS (SELECT * FROM ({all_}) WHERE len(text) >= 4 AND NOT regexp_matches(text, '[A-Z]{{3}}-[A-F0-9]{{8}}|\[MASKED\]|\[REDACTED\]|XXXX|\*\*\*\*')),
-o AS (SELECT DISTINCT doc_id, lower(trim(text)) AS text FROM h WHERE doc_id % 10 < 5 AND len(trim(text)) >= 5),
+o AS (SELECT DISTINCT doc_id, lower(trim(text)) AS text FROM h WHERE len(trim(text)) >= 5),
 e AS (SELECT b.doc_id, b.page, o.text, arg_min(b.bbox[2], block_ord) AS y1 FROM b JOIN o ON b.doc_id = o.doc_id AND contains(lower(b.text), o.text) GROUP BY b.doc_id, b.page, o.text)"""
 
 
@@ -269,15 +269,16 @@ def oracle_sql() -> dict[str, str]:
         "error_report": "SELECT s_name AS document, 'failed' AS status, 'File not found: ' || s_name AS error FROM supplier WHERE s_acctbal < 0",
         "dry_run_report": f"WITH {FIELDS}, {_TRIAGE} SELECT doc_id, 'dry_run' AS status, count(*) AS n_fields, count(*) FILTER (review_status = 'auto_mask') AS n_auto, count(*) FILTER (review_status = 'needs_review') AS n_review FROM t GROUP BY doc_id",
         "batch_summary": f"WITH {FIELDS}, d AS (SELECT doc_id, count(DISTINCT page) AS p, count(*) AS n FROM f GROUP BY doc_id), x AS (SELECT count(*) AS bad FROM supplier WHERE s_acctbal < 0) SELECT count(*) + any_value(bad) AS total_documents, count(*) AS successful, any_value(bad) AS failed, CAST(sum(p) AS BIGINT) AS total_pages, CAST(sum(n) AS BIGINT) AS total_masked_fields, round(sum(n)::DOUBLE / count(*), 2) AS fields_per_document, (SELECT count(*) FROM f WHERE field_type = 'signature') AS signatures, CAST(any_value(bad) AS INTEGER) AS listed FROM d, x",
-        "response_texts": f"""WITH {FIELDS}, {ANSWERS}, j AS (SELECT doc_id, unnest(CAST(json_extract(regexp_extract(raw, '(?s)\\{{.*\\}}'), '$.text_detections[*]') AS JSON[])) AS d FROM a WHERE contains(raw, '_detections')),
-e AS (SELECT doc_id, d->>'block_id' AS block_id, d->>'category' AS kind, d->>'sensitive_value' AS text, d->>'label' AS label, CAST(d->>'confidence' AS DOUBLE) AS confidence, d->>'risk_level' AS risk FROM j),
-g AS (SELECT doc_id, block_id, struct_extract(arg_max({{'x': bbox[1]}}, src_ord), 'x') AS x1 FROM f WHERE page = 1 GROUP BY doc_id, block_id)
-SELECT e.doc_id, e.block_id, coalesce(kind, 'unknown') AS field_type, text, label, coalesce(confidence, 0.5::DOUBLE) AS confidence, coalesce(risk, 'MEDIUM') AS risk_level, x1 FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.block_id = g.block_id""",
+        "response_texts": f"""WITH {FIELDS}, {ANSWERS}, j AS (SELECT doc_id, page, unnest(CAST(json_extract(regexp_extract(raw, '(?s)\\{{.*\\}}'), '$.text_detections[*]') AS JSON[])) AS d FROM a WHERE contains(raw, '_detections')),
+e AS (SELECT doc_id, page, d->>'block_id' AS block_id, d->>'category' AS kind, d->>'sensitive_value' AS text, d->>'label' AS label, CAST(d->>'confidence' AS DOUBLE) AS confidence, d->>'risk_level' AS risk FROM j),
+g AS (SELECT doc_id, page, block_id, struct_extract(arg_max({{'x': bbox[1]}}, src_ord), 'x') AS x1 FROM f GROUP BY doc_id, page, block_id)
+SELECT e.doc_id, e.block_id, coalesce(kind, 'unknown') AS field_type, text, label, coalesce(confidence, 0.5::DOUBLE) AS confidence, coalesce(risk, 'MEDIUM') AS risk_level, x1 FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.page = g.page AND e.block_id = g.block_id""",
         "response_visuals": f"""WITH {ANSWERS}, j AS (SELECT doc_id, unnest(CAST(json_extract(regexp_extract(raw, '(?s)\\{{.*\\}}'), '$.visual_detections[*]') AS JSON[])) AS d FROM a WHERE contains(raw, '_detections'))
 SELECT doc_id, d->>'element_id' AS block_id, d->>'type' AS field_type, '[' || upper(d->>'type') || ']' AS text, CAST(d->>'confidence' AS DOUBLE) AS confidence, true AS is_visual, {', '.join(f"CAST(d->'bbox'->>'{c}' AS INTEGER) AS {c}" for c in ('x1', 'y1', 'x2', 'y2'))} FROM j""",
-        "response_prompts": f"WITH {DOCUMENTS} SELECT doc_id, page, least(count(*), 100) AS n_blocks FROM b GROUP BY doc_id, page",
+        "response_prompts": f"""WITH {DOCUMENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY block_ord, block_id) AS nth FROM b)
+SELECT doc_id, page, count(*) AS n_blocks, sha256(string_agg(block_id || chr(10) || text, chr(10) ORDER BY nth)) AS asked FROM o WHERE nth <= 60 GROUP BY doc_id, page""",
         "response_language": "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'en,fr' WHEN 1 THEN 'en,de' ELSE 'en' END AS languages, CASE n_nationkey % 3 WHEN 0 THEN 'fr_FR' WHEN 1 THEN 'de_DE' ELSE 'en_US' END AS locale FROM nation",
-        "small_functions": "WITH s AS (SELECT *, floor(o_totalprice)::DOUBLE / 4.0::DOUBLE AS x, CAST(floor(floor(o_totalprice) / 4) AS BIGINT) AS w FROM orders) SELECT o_orderkey, CASE WHEN x < 60 THEN printf('%.1fs', x) WHEN x < 3600 THEN (w // 60) || 'm ' || (w % 60) || 's' ELSE (w // 3600) || 'h ' || (w % 3600 // 60) || 'm ' || (w % 60) || 's' END AS took, 'page:' || o_custkey || '|type:' || o_orderstatus || '|method:m' AS context, CASE WHEN len(o_orderpriority) * 6 > 50 THEN left(repeat(o_orderpriority, 6), 50) || '...' ELSE repeat(o_orderpriority, 6) END AS short FROM s",
+        "small_functions": "WITH s AS (SELECT *, floor(o_totalprice)::DOUBLE / 4.0::DOUBLE AS x, CAST(floor(floor(o_totalprice) / 4) AS BIGINT) AS w, CAST(round_even(floor(o_totalprice)::DOUBLE / 4.0::DOUBLE - 60 * floor(floor(o_totalprice)::DOUBLE / 240.0::DOUBLE), 0) AS BIGINT) AS rest FROM orders) SELECT o_orderkey, CASE WHEN x < 60 THEN printf('%.1fs', x) WHEN x < 3600 THEN (w // 60) || 'm ' || rest || 's' ELSE (w // 3600) || 'h ' || (w % 3600 // 60) || 'm ' || rest || 's' END AS took, 'page:' || o_custkey || '|type:' || o_orderstatus || '|method:m' AS context, CASE WHEN len(o_orderpriority) * 6 > 50 THEN left(repeat(o_orderpriority, 6), 50) || '...' ELSE repeat(o_orderpriority, 6) END AS short FROM s",
         "stream_detect": f"WITH {DOCUMENTS}, {_hits()}, {_companies()} SELECT doc_id, page, block_id, field_type, text FROM h UNION ALL SELECT doc_id, page, block_id, field_type, text FROM c",
     }
     out |= {name: _detect(BLOCKS, lambda n, r=rx: bool(re.search(r, n))) for name, rx in FAMILIES.items()}

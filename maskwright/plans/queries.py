@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable
 from functools import partial
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import Config
 from ..functions import dummy, geometry, text as T, tokens
 from ..functions.normalize import normalize, without_label
+from ..functions.patterns import PATTERNS
 from ..operators import canonical, detect, fields as ops, mask as masking, replace as rep, report, responses, verify as ver
 from ..operators.lineage import checkpoint
 from ..sources import blocks as src
@@ -30,12 +32,12 @@ def _shown(df: DataFrame) -> DataFrame:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Emails and addresses in documents, by regulation."""
-    found = detect.by_patterns(src.documents(spark, folder)).filter(F.col("field_type").isin("email", "ip_address"))
+    found = detect.by_patterns(src.documents(spark, folder), ("email", "ip_address"))
     return found.select(F.explode("regulations").alias("regulation")).groupBy("regulation").agg(F.count(F.lit(1)).alias("n_fields"))
 
 
 def _family(names: str, spark: SparkSession, folder: str) -> DataFrame:
-    return _shown(detect.by_patterns(fx.blocks(spark, folder)).filter(F.col("field_type").rlike(names)))
+    return _shown(detect.by_patterns(fx.blocks(spark, folder), [p.name for p in PATTERNS if re.search(names, p.name)]))
 
 
 def _lines(read: Callable, spark: SparkSession, folder: str) -> DataFrame:
@@ -110,7 +112,7 @@ def _similar(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _registry(spark: SparkSession, folder: str) -> DataFrame:
-    known = canonical.keys(_found(spark, folder))
+    known = checkpoint(canonical.keys(_found(spark, folder)))
     return rep.registry(known, rep.dictionary(known, KEY, similar=False, mode="token")).select("normalized_hash", "token", "namespace", "document_id", "field_context")
 
 
@@ -172,7 +174,7 @@ def _batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _answer_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return fx.fields(spark, folder).filter("page = 1").select("doc_id", "page", F.col("src_ord").alias("block_ord"), "block_id", "text", "bbox")
+    return fx.fields(spark, folder).select("doc_id", "page", F.col("src_ord").alias("block_ord"), "block_id", "text", "bbox")
 
 
 def _answer_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,7 +188,10 @@ def _answer_visuals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _prompts(spark: SparkSession, folder: str) -> DataFrame:
-    return responses.prompts(src.documents(spark, folder), 100).select("doc_id", "page", "n_blocks")
+    """Requests of 60 blocks at most, with a hash of what is asked: the payloads' ids and texts."""
+    out = responses.prompts(src.documents(spark, folder), 60)
+    rows = F.transform(F.from_json("payload", "array<struct<id: string, text: string>>"), lambda b: F.concat_ws("\n", b["id"], b["text"]))
+    return out.select("doc_id", "page", "n_blocks", tokens.sha256(F.concat_ws("\n", rows)).alias("asked"))
 
 
 def _languages(spark: SparkSession, folder: str) -> DataFrame:
@@ -245,8 +250,8 @@ def queries() -> dict[str, Query]:
         "flagship_regulations": flagship,
         "blocks_from_documents": partial(_lines, src.documents),
         "block_stats_by_doc": lambda s, d: src.full_text(src.documents(s, d)),
-        "detect_email": lambda s, d: _shown(detect.by_patterns(src.documents(s, d)).filter("field_type = 'email'")),
-        "detect_ip": lambda s, d: _shown(detect.by_patterns(src.documents(s, d)).filter("field_type = 'ip_address'")),
+        "detect_email": lambda s, d: _shown(detect.by_patterns(src.documents(s, d), ("email",))),
+        "detect_ip": lambda s, d: _shown(detect.by_patterns(src.documents(s, d), ("ip_address",))),
         "detect_all_patterns": lambda s, d: _shown(detect.by_patterns(fx.blocks(s, d))),
         "detect_company_suffix": lambda s, d: _shown(detect.by_company_suffix(fx.blocks(s, d))),
         "documents_pii": lambda s, d: _shown(detect.by_patterns(src.documents(s, d))),

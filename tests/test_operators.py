@@ -240,3 +240,45 @@ def test_merge(spark):
     old = spark.createDataFrame([("h1", "t1", "PER", 1, "c", 1.0)], schema)
     new = spark.createDataFrame([("h1", "t2", "PER", 2, "c", 1.0), ("h2", "t3", "PER", 2, "c", 1.0)], schema)
     assert {r.normalized_hash: r.token for r in rep.merge(old, new).collect()} == {"h1": "t1", "h2": "t3"}
+
+
+def test_durations_round_their_seconds(spark):
+    from maskwright.functions.text import duration
+
+    rows = [(3.24,), (59.96,), (60.5,), (61.5,), (125.7,), (119.7,), (3600.0,), (3725.4,), (7325.6,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x double").select(duration(F.col("x"))).collect()]
+    assert got == ["3.2s", "60.0s", "1m 0s", "1m 2s", "2m 6s", "1m 60s", "1h 0m 0s", "1h 2m 5s", "2h 2m 6s"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_detection_runs_once_and_only_what_is_asked(spark):
+    """Expressions of the patterns that are named alone, each once; registries from one scan."""
+    from maskwright.plans import queries as registered
+
+    assert _plan(registered.flagship(spark, FOLDER)).count("regexp_extract(") <= 2
+    one = _plan(detect.by_patterns(src.documents(spark, FOLDER), ("email",)))
+    assert one.count("regexp_extract(") == 1
+    for name in ("canonical_exact", "registry_first_seen", "registry_merge"):
+        assert _plan(registered.queries()[name](spark, FOLDER)).count("FileScan parquet") <= 2
+
+
+def test_command_line(spark, tmp_path):
+    """Fields that need review are masked without answers, and as answered with them."""
+    from maskwright import cli
+
+    docs = spark.createDataFrame([(1, "Mail jane.roe@example.com or 192.168.10.20 now\nCall +90 532 123 45 67 today")], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/in")
+    run = lambda *a: cli.main([f"{tmp_path}/in", "-o", f"{tmp_path}/out", "--key", "k", "-q", *a])
+    text = lambda: " ".join(r.text for r in spark.read.parquet(f"{tmp_path}/out/masked").collect())
+    run("--no-review")
+    bare = text()
+    run()
+    assert text() == bare and "jane.roe@example.com" not in bare
+    queue = spark.read.parquet(f"{tmp_path}/out/review")
+    queue.select("doc_id", "page", "src_ord", F.lit("N").alias("answer")).write.parquet(f"{tmp_path}/answers")
+    n = queue.count()
+    run("--decisions", f"{tmp_path}/answers")
+    assert n and text() != bare
