@@ -52,4 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            # What a stage read isn't needed once its result is written: a run holds two of them at most, and leaves one.
+            exchange.remove(spark, f"{folder}/{k - 1}")
     return docs

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import exchange as E
+
 #: Words and link share of the block before, the block itself and the one after; then 1 for content.
 LABELLED = (
     # navigation, menus and link lists
@@ -41,7 +43,7 @@ LABELLED = (
 )
 DEPTH = 6
 
-_CUT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_CUT = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg|textarea|select)\b(?:[^>]*+>.*?(?:</\1\s*>|\Z)|[^>]*+\Z)", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[/!?a-zA-Z][^>]*+(?:>|\Z)""")
 _WORD = re.compile(r"\w[^\s]*")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -156,5 +158,6 @@ def extract(pages: DataFrame) -> DataFrame:
                 text, size, kept = content(s.column("html").to_pylist())
                 yield pa.RecordBatch.from_arrays([s.column("page_id"), s.column("url"), pa.array(text, pa.string()), pa.array(size, pa.int64()), pa.array(kept, pa.int64())], ["page_id", "url", "text", "n_blocks", "n_content"])
 
+    E.small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return pages.mapInArrow(source, "page_id bigint, url string, text string, n_blocks bigint, n_content bigint")

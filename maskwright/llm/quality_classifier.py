@@ -11,7 +11,7 @@ The labelled sample is bounded by the parameter ``most_labelled`` (lowest hash o
 
 Cases: a null, empty or wordless text gets the features 0 and a probability like any other. Null doc_ids stay null and have no label. Labels
 with nulls are left out, of repeated labels the highest toxic and lowest quality hold. Rows that repeat a doc_id are scored each; all of them train.
-Without any labelled document the probabilities are 0.5 and every document is kept. An empty table gives an empty result. Other columns are ignored.
+However few documents are labelled, the network is trained on them (and is no better than they are). Without any labelled document the probabilities are 0.5 and every document is kept. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Measures, in characters of plain words unless said otherwise:
 * ``dup_line``: characters of non-empty lines (between LFs) that occurred before in the text, of ``line_chars`` in all such lines;
 * ``symbol_words``: raw words with one of ``#$%&*+<=>@[\\]^_{|}~!``, of ``raw_words``.
 
-A document is rejected if a share is above its limit in LIMITS, or if it has no word. An n-gram or line of a document counts within it
+A document is rejected if a share is above its limit in LIMITS, or if it has no word. The limits on ``top`` shares hold from TOP_FROM_WORDS (30) words on,
+as in a few words the one repeat that any sentence may have is a large share; all other limits hold at any length. An n-gram or line of a document counts within it
 alone, so repeated rows get equal results.
 
 Cases: a null, empty or wordless text is rejected with all measures 0. A very long text is measured whole. Null doc_ids and other null columns play

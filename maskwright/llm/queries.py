@@ -130,8 +130,9 @@ g AS (SELECT doc_id, i - 1 AS word, array_to_string(ws[i:i + {k - 1}], ' ') AS g
 v AS (SELECT DISTINCT doc_id, license, size, word, place, word - place AS diagonal FROM g JOIN t USING (gram)),
 b AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, license ORDER BY diagonal) > {license_scan.APART} THEN 1 ELSE 0 END AS begins FROM v),
 m AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, license ORDER BY diagonal RANGE UNBOUNDED PRECEDING) AS band FROM b),
+z AS (SELECT doc_id, license, size, band, word, place, CASE WHEN (max(word) OVER b + {k} - min(word) OVER b) * 100 <= size * {license_scan.STRETCH} THEN 0 ELSE 1 + diagonal - min(diagonal) OVER b END AS copy FROM m WINDOW b AS (PARTITION BY doc_id, license, band)),
 s AS (SELECT doc_id, license, size, CAST(min(word) AS INTEGER) AS start_word, CAST(max(word) + {k} AS INTEGER) AS end_word, count(*) AS votes,
-  CAST(len(list_distinct(flatten(list(range(place, place + {k}))))) AS INTEGER) AS covered FROM m GROUP BY doc_id, license, size, band),
+  CAST(len(list_distinct(flatten(list(range(place, place + {k}))))) AS INTEGER) AS covered FROM z GROUP BY doc_id, license, size, band, copy),
 f AS (SELECT * FROM s WHERE covered * 100 >= size * {license_scan.COVER} AND (end_word - start_word) * 100 <= size * {license_scan.STRETCH})
 SELECT doc_id, license, start_word, end_word, votes, covered, size FROM f x WHERE NOT EXISTS (SELECT 1 FROM f y WHERE y.doc_id = x.doc_id AND y.start_word < x.end_word AND x.start_word < y.end_word
   AND (y.covered > x.covered OR (y.covered = x.covered AND (y.covered * x.size > x.covered * y.size OR (y.covered * x.size = x.covered * y.size AND y.license < x.license)))))"""

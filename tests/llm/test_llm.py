@@ -380,6 +380,54 @@ def test_html():
     assert "real text" in text[0] and "Home" not in text[0] and "var x" not in text[0] and n[1] == kept[2] == 0
 
 
+PAGE = "<html><body><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><p>" + "This is a long paragraph of real text in which things are told. " * 6 + "</p></body></html>"
+
+
+def test_odd_pages(spark):
+    """Null and repeated ids, null, empty, wordless and long pages, columns of clashing names, an empty table."""
+    rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, PAGE), (2, "u", None), (3, "u", ""), (4, "u", "<br><hr>"), (5, "u", "<p>" + "word " * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = [tuple(r) for r in html_extract.extract(pages).collect()]
+    text = ("This is a long paragraph of real text in which things are told. " * 6).strip()
+    want = [(k, u, text, 3, 1) for k, u in ((1, "u"), (1, "u"), (None, None))] + [(k, "u", "", 0, 0) for k in (2, 3, 4)] + [(5, "u", ("word " * 100_000).strip(), 1, 1)]
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted(got, key=key) == sorted(want, key=key)
+    wide = html_extract.extract(pages.withColumns({c: F.lit("x") for c in ("text", "n_blocks", "n_content", "a")}))
+    assert sorted((tuple(r) for r in wide.collect()), key=key) == sorted(got, key=key)
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_unclosed_markup_takes_time_in_proportion():
+    import time
+
+    for odd in ("<svg ", "<script", "<!--", "<a '", "<p \""):
+        began = time.perf_counter()
+        html_extract.content([odd * (400_000 // len(odd))])
+        assert time.perf_counter() - began < 10, odd
+
+
+def test_html_content_by_labels(spark):
+    """Pages made of paragraphs, menus, teasers and footers whose words tell which they are: precision and recall by words."""
+    rng = np.random.default_rng(7)
+    say = lambda mark, n: " ".join(f"{mark}{rng.integers(1000)}" for _ in range(n))
+    kept = right = all_ = 0
+    for _ in range(60):
+        menu = "".join(f"<li><a href='#'>{say('nav', int(rng.integers(1, 4)))}</a></li>" for _ in range(rng.integers(3, 9)))
+        body = f"<h1>{say('text', int(rng.integers(4, 10)))}</h1>" + "".join(f"<p>{say('text', int(rng.integers(25, 120)))}</p>" for _ in range(rng.integers(2, 8)))
+        text, _, _ = html_extract.content([f"<html><head><title>nav</title></head><body><ul>{menu}</ul><div>{body}</div><div class=f>{say('foot', int(rng.integers(5, 15)))}</div></body></html>"])
+        words = text[0].split()
+        kept, right, all_ = kept + len(words), right + sum(w.startswith("text") for w in words), all_ + body.count("text")
+    assert right >= 0.95 * kept and right >= 0.95 * all_
+
+
+def test_licenses_close_together(spark):
+    line = "All rights reserved."
+    rows = [(1, f"{line} {line}"), (2, " ".join([line] * 5)), (3, f"a {line} b c {line}"), (4, line), (4, line), (5, f"x {line} " + license_scan.TEMPLATES["Zlib"]), (6, None), (None, line)]
+    got = collections.Counter((r.doc_id, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    name = "all-rights-reserved"
+    assert got == {(1, name): 2, (2, name): 5, (3, name): 2, (4, name): 1, (5, name): 1, (5, "Zlib"): 1}
+
+
 def test_rules_keep_clean_text():
     clean = " ".join(f"term{k * 7919 % 9973}" for k in range(400))
     assert quality_rules.kept(pa.array([clean, "spam ham " * 100, "line one\n" * 50, "", None])).tolist() == [True, False, False, False, False]
