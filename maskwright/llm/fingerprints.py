@@ -224,7 +224,17 @@ def _met(known: DataFrame) -> DataFrame:
     packer = E.Packer(E.width(known.sparkSession), {"feature": np.uint64, "size": np.uint8, "probe": np.uint8}, {"class": np.int64, "asks": np.uint8})
 
     def source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, bool] = {}
         for b in batches:
+            # Copies are taken together before they are exchanged: a partition sends a class once, and again if a later row of it is the first that asks.
+            new = []
+            for name, asks in zip(b.column("class").to_pylist(), b.column("asks").to_pylist()):
+                new.append(name not in seen or (asks and not seen[name]))
+                seen[name] = asks or seen.get(name, False)
+            b = pa.Table.from_batches([b.filter(pa.array(new, pa.bool_()))]).combine_chunks().to_batches()
+            if not b:
+                continue
+            b = b[0]
             keys, sizes = b.column("keys"), b.column("sizes")
             feature = keys.flatten().to_numpy().view(np.uint64)
             size = sizes.flatten().to_numpy().astype(np.int64)
@@ -237,9 +247,11 @@ def _met(known: DataFrame) -> DataFrame:
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = packer.read(batches)
-        order = np.lexsort((got["class"], got["size"], got["feature"]))
+        order = np.lexsort((got["probe"], got["class"], got["size"], got["feature"]))
         feature, size, name, probe, asks = (got[k][order] for k in ("feature", "size", "class", "probe", "asks"))
-        probe, asks = probe > 0, asks > 0
+        first = X.runs(feature, size, name, probe)[:-1]
+        asks = np.maximum.reduceat(asks, first) > 0 if len(first) else asks > 0
+        feature, size, name, probe = feature[first], size[first], name[first], probe[first] > 0
         del got
         edge = X.runs(feature)
         held: list = []
@@ -277,16 +289,14 @@ def _met(known: DataFrame) -> DataFrame:
 def _class_scores(made: DataFrame) -> DataFrame:
     """one, two, score (of one against two): every class of a query with other classes that the index gives and a score above 0; materialised."""
     known = made.filter("doc_id IS NOT NULL AND class IS NOT NULL").withColumn("asks", F.expr(f"doc_id % {QUERY} = 0"))
-    # Copies are one class: a row of each goes to the index, once it is known whether any of them asks.
-    asking = E.checkpoint(known.groupBy("class").agg(F.max("asks").alias("asks"), F.min("doc_id").alias("doc_id")))
-    heads = known.drop("asks").join(E.lean(asking), ["class", "doc_id"])
-    pairs = E.checkpoint(_met(heads))
+    pairs = E.checkpoint(_met(known))
+    heads = known.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     # Queries of a group share a tile, that of the least class that they met, so each digest goes there once; a large tile is cut by the other class.
     least = E.checkpoint(pairs.groupBy("one").agg(F.min("two").alias("tile")))
     tiled = pairs.join(E.lean(least), "one")
     parts = E.checkpoint(tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE_PAIRS)).alias("parts")))
     tiled = E.checkpoint(tiled.join(E.lean(parts), "tile").select("tile", F.pmod(F.xxhash64("two"), F.col("parts")).cast("int").alias("part"), "one", "two"))
-    asked = tiled.select("tile", "part", F.explode(F.array("one", "two")).alias("class")).distinct().join(asking, "class")
+    asked = tiled.select("tile", "part", F.explode(F.array("one", "two")).alias("class")).distinct().join(heads, "class")
     rows = known.select("class", "doc_id", "digest", "n_features").join(E.lean(E.checkpoint(asked)), ["class", "doc_id"])
     rows = rows.select("tile", "part", F.col("class").alias("one"), F.lit(None).cast("bigint").alias("two"), "digest", "n_features")
     rows = rows.union(tiled.select("tile", "part", "one", "two", F.lit(None).cast("binary"), F.lit(None).cast("int")))
