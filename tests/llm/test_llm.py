@@ -55,8 +55,8 @@ def test_odd_and_empty_tables(spark, odd, name):
     operator = OPERATORS[name]
     plain = operator(odd)
     wide = operator(odd.withColumns({c: F.lit("x") for c in CLASHES}))
-    extra = set(CLASHES) - set(plain.columns)
-    assert plain.count() == wide.drop(*extra).count()
+    rows = lambda df: sorted(str(oracle.plain(r)) for r in df.select(*sorted(set(plain.columns) - set(CLASHES))).collect())
+    assert rows(plain) == rows(wide) == rows(operator(odd.repartition(2)))
     assert operator(odd.limit(0)).count() == 0
 
 
@@ -67,6 +67,36 @@ def test_repeats(odd):
     assert left[1] == PASSAGE and 2 not in left and left[3] == "intro ending" and left[4] is None and left[5] == ""
 
 
+def test_repeats_without_a_broadcast(odd, monkeypatch):
+    """Where the documents that lose words are too many to be sent to all workers, a join tells them; also rows of one id with different texts."""
+    more = odd.union(odd.sparkSession.createDataFrame([(3, PASSAGE + " another end", "en", "a", 1), (9, None, None, None, None)], DOCS))
+    for docs in (odd, more):
+        monkeypatch.setattr(suffix_dedup.E, "MOST_IDS", 1_000_000)
+        want = sorted(str(r) for r in suffix_dedup.drop_repeats(docs).collect())
+        monkeypatch.setattr(suffix_dedup.E, "MOST_IDS", 0)
+        assert sorted(str(r) for r in suffix_dedup.drop_repeats(docs).collect()) == want
+
+
+def test_repeats_against_brute_force(spark):
+    """All windows of 50 words by their words: within a text, across texts, at a text's start and end, in runs that touch."""
+    shared = [_prose(k, 70) for k in range(40, 44)]
+    texts = [f"{_prose(50 + k, k)} {shared[k % 4]} {_prose(60 + k, 3 * k)} {shared[(k + 1) % 4]}" for k in range(12)] + ["same " * 130, _prose(1, 49), shared[0], shared[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    places = {}
+    for d, t in enumerate(texts):
+        words = t.split()
+        for i in range(len(words) - 49):
+            places.setdefault(tuple(words[i : i + 50]), []).append((d, i))
+    want = set()
+    for kind in ("repeat", "drop"):
+        at = sorted(p for own in places.values() if len(own) > 1 for p in (own if kind == "repeat" else own[1:]))
+        for d, i in at:
+            last = next(((k, x, a, b) for k, x, a, b in want if k == kind and x == d and a <= i <= b), None)
+            want.discard(last)
+            want.add((kind, d, last[2] if last else i, i + 50))
+    assert {(r.kind, r.doc_id, r.start_word, r.end_word) for r in suffix_dedup.repeat_spans(docs).collect()} == want
+
+
 def test_near_pairs_and_groups(odd):
     pairs = {(r.doc_a, r.doc_b): round(r.jaccard, 3) for r in jaccard_join.near_pairs(odd).collect()}
     assert pairs == {(1, 2): 1.0, (1, 3): 0.975, (2, 3): 0.975}
@@ -141,6 +171,71 @@ def test_encoding_is_that_of_a_library(spark):
     assert all(r.text == r.was for r in bpe.decode(rows.withColumn("was", F.col("text"))).select("text", "was").collect())
 
 
+def test_long_words_and_null_tokens(spark):
+    """Words beyond LOCKSTEP bytes go through the heap; null tokens, none and an empty table are decoded too."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(bpe.VOCABULARY).read_bytes().splitlines())}
+    library = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdeé"), n)) for n in (63, 64, 65, 700, 5000)] + ["", None, "<|endoftext|> x"]
+    got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    rows = {r.doc_id: r for r in got.collect()}
+    assert all(rows[k].tokens == (None if t is None else library.encode_ordinary(t)) and rows[k].round_trip for k, t in enumerate(texts))
+    assert {r.doc_id: r.text for r in bpe.decode(got.drop("text")).collect()} == dict(enumerate(texts))
+    assert bpe.decode(got.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("labelled", [0, 1, 5])
+def test_classifier_with_few_odd_labels(spark, labelled):
+    """Null and repeated labels, few of them or none; rows that repeat a doc_id are scored each, and alike where their texts are."""
+    docs = spark.createDataFrame([(k, _prose(k, 30)) for k in range(8)] + [(3, _prose(3, 30)), (None, "x"), (9, None), (10, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(labelled)] + [(0, None, 1), (None, 1, 1), (6, 1, None)] + [(0, 0, 1)] * (labelled > 0), "doc_id bigint, quality int, toxic int")
+    got = quality_classifier.classify(docs, labels).collect()
+    assert len(got) == 12 and all(0 <= r.p_quality <= 1 and 0 <= r.p_toxic <= 1 for r in got)
+    assert len({(round(r.p_quality, 9), round(r.p_toxic, 9)) for r in got if r.doc_id == 3}) == 1
+    assert (labelled > 0) != all((r.p_quality, r.p_toxic, r.keep) == (0.5, 0.5, True) for r in got)
+
+
+def test_network_is_calibrated():
+    """Held-out labels drawn by known probabilities: the network's come near them, and the temperature of pure noise is high."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 3))
+    p = 1 / (1 + np.exp(-2 * x[:, 0] + x[:, 1]))
+    y = np.stack([rng.random(6000) < p, rng.random(6000) < 0.5], axis=1).astype(float)
+    net = quality_classifier.Network().fit(x[:5000], y[:5000])
+    got = net.probabilities(x[5000:])
+    assert np.abs(got[:, 0] - p[5000:]).mean() < 0.06 and np.abs(got[:, 1] - 0.5).mean() < 0.15 and (net.temperature > 0).all()
+    h = np.tanh((x[5000:] - net.mean) / net.scale @ net.w1 + net.b1) @ net.w2 + net.b2
+    assert np.allclose(got, 1 / (1 + np.exp(-h / net.temperature)))
+
+
+def test_word_vectors_against_brute_force(spark):
+    """Sums of neighbours' index vectors, counts and label shares by plain loops."""
+    texts = [_prose(k, 25) + " alpha beta alpha" for k in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    words = np.unique(X.plain_words(pa.array(texts)).hash)
+    labels = {0: (1, 0), 1: (0, 1), 2: (1, 1)}
+    got, count = quality_classifier.word_vectors(docs, words, labels)
+    ids = [np.searchsorted(words, X.plain_words(pa.array([t])).hash).tolist() for t in texts]
+    n = len(words) + quality_classifier.OTHERS + len(quality_classifier.MARKS)
+    place, sign = quality_classifier.index_vectors(n)
+    sums, want = np.zeros((n, quality_classifier.DIMENSIONS)), np.zeros(n)
+    for own in ids:
+        for i, w in enumerate(own):
+            want[w] += 1
+            for j in range(max(0, i - 2), min(len(own), i + 3)):
+                if i != j:
+                    np.add.at(sums[w], place[own[j]], sign[own[j]])
+    assert count[: len(words)].tolist() == want[: len(words)].tolist()
+    sums -= sums.sum(axis=0) / count.sum() * count[:, None]
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    own = np.random.default_rng(quality_classifier.SEED + 1).normal(size=(n, quality_classifier.DIMENSIONS))
+    assert np.allclose(got[: len(words), :-2], unit(unit(sums) + unit(own))[: len(words)], atol=1e-3)
+    alpha = int(np.searchsorted(words, X.plain_words(pa.array(["alpha"])).hash[0]))
+    assert got[alpha, -2:] == pytest.approx([(2 + 8 * 2 / 3) / 11, (2 + 8 * 2 / 3) / 11], abs=1e-6)
+
+
 def test_forward_recursion_is_exact():
     rng = np.random.default_rng(1)
     k, symbols = 3, 20
