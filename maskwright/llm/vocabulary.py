@@ -106,9 +106,12 @@ def sum_arrays(df: DataFrame, make, rows: int, columns: int, kind: type = np.flo
     width, many = E.width(df.sparkSession), df.rdd.getNumPartitions()
     got, wire = df.mapInArrow(source, "block int, part int, data binary"), kind
     while many > FAN:
-        got = got.repartition(width, "block", F.expr(f"part div {FAN}")).sortWithinPartitions("block", "part").mapInArrow(add(wire), "block int, part int, data binary")
-        wire, many = np.float64, -(-many // FAN)
-    got = got.repartition(min(blocks, width), "block").sortWithinPartitions("block", "part").mapInArrow(add(wire), "block int, part int, data binary").toArrow().to_pylist()
+        groups = -(-many // FAN)
+        # Dealt out in turn, not by hash: no task gets several groups more than another.
+        got = got.repartitionById(width, F.expr(f"CAST(pmod(CAST(block AS bigint) * {groups} + part div {FAN}, {width}) AS int)")).sortWithinPartitions("block", "part").mapInArrow(add(wire), "block int, part int, data binary")
+        wire, many = np.float64, groups
+    last = min(blocks, width)
+    got = got.repartitionById(last, F.expr(f"CAST(pmod(block, {last}) AS int)")).sortWithinPartitions("block", "part").mapInArrow(add(wire), "block int, part int, data binary").toArrow().to_pylist()
     out = np.zeros((rows, columns))
     for r in sorted(got, key=lambda r: (r["block"], r["part"])):
         part = np.frombuffer(r["data"], np.float64).reshape(-1, columns)
