@@ -51,7 +51,12 @@ def top_words(docs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
 
     found = E.checkpoint(E.regroup(docs.select("text"), source, packer, reduce, "word bigint, count bigint, total bigint").withColumn("part", F.spark_partition_id()))
     total = found.groupBy("part").agg(F.first("total").alias("t")).agg(F.sum("t")).first()[0] or 0
-    got = found.orderBy(F.desc("count"), "word").limit(most).select("word", "count").toArrow()
+    # Buckets' words below a count that enough words have are left where they are: what meets in one task is about ``most`` words, however many buckets there are.
+    size = F.floor(F.log2("count") * 64).cast("int")
+    sizes = found.groupBy(size.alias("size")).count().toArrow().sort_by([("size", "descending")])
+    upto = int(np.searchsorted(np.cumsum(sizes.column("count").to_numpy()), most))
+    few = found.filter(size >= sizes.column("size")[upto].as_py()) if upto < len(sizes) else found
+    got = few.orderBy(F.desc("count"), "word").limit(most).select("word", "count").toArrow()
     word, count = np.ascontiguousarray(got.column(0).to_numpy()).view(np.uint64), got.column(1).to_numpy()
     order = np.argsort(word)
     return word[order], count[order], int(total)
