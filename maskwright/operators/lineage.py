@@ -1,4 +1,4 @@
-"""Where iterative plans put their intermediate results."""
+"""Where iterative plans put their intermediate results, and how rows that belong together meet."""
 
 from __future__ import annotations
 
@@ -22,3 +22,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """df, materialised in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def together(df: DataFrame, *keys: str) -> DataFrame:
+    """df, with rows of equal keys in one partition, so that what is grouped by them (and more) needs no other shuffle.
+
+    The partitions are the session's shuffle partitions, which the deployment sizes to its input; adaptive execution doesn't merge them, since
+    rows that are widened after a shuffle take more memory than their bytes tell.
+    """
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.geometry import masking_method
+from .lineage import together
 
 _LONG = ["doc_id", "dimension", "value", "n"]
 
@@ -31,11 +32,12 @@ def by_risk(fields: DataFrame) -> DataFrame:
 
 
 def statistics(fields: DataFrame) -> DataFrame:
-    """doc_id, dimension, value, n: all four countings and the total, by one shuffle of partial counts."""
+    """doc_id, dimension, value, n: all four countings and the total. Documents' fields meet by one shuffle of a narrow row each, and are spread over the countings after it."""
     pair = lambda name, v: F.struct(F.lit(name).alias("dimension"), v.alias("value"))
     fixed = F.array(pair("total", F.lit("all")), pair("type", F.coalesce("field_type", F.lit("unknown"))), pair("page", F.coalesce("page", F.lit(0)).cast("string")), pair("risk_level", F.coalesce("risk_level", F.lit("UNKNOWN"))))
     ruled = F.transform(F.coalesce("regulations", F.array().cast("array<string>")), lambda r: F.struct(F.lit("regulation").alias("dimension"), r.alias("value")))
-    return fields.select("doc_id", F.inline(F.concat(fixed, ruled))).groupBy("doc_id", "dimension", "value").agg(F.count(F.lit(1)).alias("n")).select(*_LONG)
+    narrow = together(fields.select("doc_id", "field_type", "page", "risk_level", "regulations"), "doc_id")
+    return narrow.select("doc_id", F.inline(F.concat(fixed, ruled))).groupBy("doc_id", "dimension", "value").agg(F.count(F.lit(1)).alias("n")).select(*_LONG)
 
 
 def documents(masked_fields: DataFrame, pages: DataFrame, originals: bool = False) -> DataFrame:

@@ -282,3 +282,22 @@ def test_command_line(spark, tmp_path):
     n = queue.count()
     run("--decisions", f"{tmp_path}/answers")
     assert n and text() != bare
+
+
+def _exchanges(df):
+    """What lies below each exchange of the plan, the outermost first."""
+    return re.split(r"Exchange \w+", _plan(df))[1:]
+
+
+def test_statistics_shuffle_a_row_a_field(spark):
+    """Fields are spread over the countings after their only shuffle; nulls and empty lists count as elsewhere."""
+    rows = [(1, 1, "email", "LOW", ["A", "B"]), (1, 1, "email", None, None), (1, None, None, "LOW", []), (1, 2, "email", "LOW", ["A", None]), (2, 1, "x", "all", ["A"]), (None, 1, "x", "LOW", ["A"])]
+    f = spark.createDataFrame(rows, "doc_id bigint, page int, field_type string, risk_level string, regulations array<string>")
+    got = report.statistics(f)
+    want = {}
+    for doc, page, kind, risk, rules in rows:
+        for pair in [("total", "all"), ("type", kind or "unknown"), ("page", str(page or 0)), ("risk_level", risk or "UNKNOWN"), *(("regulation", r) for r in rules or [])]:
+            want[doc, *pair] = want.get((doc, *pair), 0) + 1
+    assert {tuple(r)[:3]: r.n for r in got.collect()} == want
+    below = _exchanges(registered.queries()["stats_grouping_sets"](spark, FOLDER))
+    assert len(below) == 1 and "Generate" not in below[0]
