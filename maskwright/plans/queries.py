@@ -53,6 +53,11 @@ def _decisions(spark: SparkSession, folder: str) -> DataFrame:
     return _triaged(spark, folder).filter("src_ord % 5 <> 3").select("doc_id", "page", "src_ord", answer.alias("answer"))
 
 
+def _deduplicated(spark: SparkSession, folder: str) -> DataFrame:
+    f = fx.fields(spark, folder).select("doc_id", "page", "src_ord", "block_id", "field_type", "text", "bbox", "confidence")
+    return ops.deduplicate(f).select("doc_id", "page", "src_ord", "field_type")
+
+
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     f = fx.fields(spark, folder).filter("bbox IS NOT NULL").select("doc_id", "src_ord", "bbox")
     g = f.select("doc_id", F.col("src_ord").alias("other"), F.col("bbox").alias("box2"))
@@ -260,7 +265,7 @@ def queries() -> dict[str, Query]:
         "triage_counts": lambda s, d: _triaged(s, d).groupBy("review_status").agg(F.count(F.lit(1)).alias("n")),
         "review_queue": lambda s, d: _triaged(s, d).filter("review_status = 'needs_review'").select("doc_id", "src_ord", "confidence"),
         "review_decisions": lambda s, d: ops.review(_triaged(s, d), _decisions(s, d)).select("doc_id", "src_ord", "review_status"),
-        "dedup_nms": lambda s, d: ops.deduplicate(fx.fields(s, d)).select("doc_id", "page", "src_ord", "field_type"),
+        "dedup_nms": _deduplicated,
         "bbox_overlap": _pairs,
         "bbox_clamp": _boxes,
         "signature_flag": _marks,

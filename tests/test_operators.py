@@ -301,3 +301,25 @@ def test_statistics_shuffle_a_row_a_field(spark):
     assert {tuple(r)[:3]: r.n for r in got.collect()} == want
     below = _exchanges(registered.queries()["stats_grouping_sets"](spark, FOLDER))
     assert len(below) == 1 and "Generate" not in below[0]
+
+
+def test_fields_meet_as_they_are(spark):
+    """Fields are compared after their only shuffle, as one after the other in plain Python would be; all their columns come through."""
+    rng = random.Random(5)
+    rows = [(d, rng.choice([1, 2, None]), k, rng.choice(["b0", "b1", None]), rng.choice(["x", "y"]), rng.choice([" Same ", "same", "other", None]), rng.choice([None, [0, 0, 10, 10], [2, 0, 12, 10], [8, 8, 20, 20]]), rng.choice([None, 0.5, 0.9])) for d in range(12) for k in range(12)]
+    f = spark.createDataFrame(rows, "doc_id bigint, page int, src_ord bigint, block_id string, field_type string, text string, bbox array<int>, confidence double").withColumn("label", F.concat_ws("-", "doc_id", "src_ord"))
+
+    def share(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        return max(w, 0) * max(h, 0) / min((x[2] - x[0]) * (x[3] - x[1]) for x in (a, b))
+
+    kept = []
+    for r in sorted(rows, key=lambda r: (-(r[7] or 0), r[2])):
+        same = lambda o: (o[3] == r[3] and (o[5] or "").strip().lower() == (r[5] or "").strip().lower()) or (o[6] and r[6] and share(o[6], r[6]) > 0.7)  # noqa: B023, E731
+        if not any(same(o) for o in kept if (o[0], o[1], o[4]) == (r[0], r[1], r[4])):
+            kept.append(r)
+    got = ops.deduplicate(f)
+    assert got.columns == f.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((*r, f"{r[0]}-{r[2]}")) for r in kept)
+    below = _exchanges(registered.queries()["dedup_nms"](spark, FOLDER))
+    assert len(below) == 1 and "Aggregate" not in below[0]
