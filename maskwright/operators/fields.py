@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.geometry import overlap
 from ..functions.text import strip
-from .lineage import together
 
 SAME = 0.7
 
@@ -23,7 +22,7 @@ def deduplicate(fields: DataFrame, most: float = SAME) -> DataFrame:
     place = {"src_ord": "nth", "block_id": "block", "bbox": "box"}
     rest = [c for c in names if c not in by and c not in place]
     row = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("rank"), F.col("src_ord").alias("nth"), F.col("block_id").alias("block"), key.alias("key"), F.col("bbox").alias("box"), F.struct(*rest).alias("rest"))
-    page = together(fields, *by).groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    page = fields.repartition(*by).groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
     def step(kept: Column, x: Column) -> Column:
         again = F.exists(kept, lambda k: (k["block"].eqNullSafe(x["block"]) & (k["key"] == x["key"])) | (x["box"].isNotNull() & k["box"].isNotNull() & (overlap(x["box"], k["box"]) > most)))
