@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, functions as F
 
-from .text import strip
+from .text import has_outer_space, strip_if_any
 
 
 class Pattern(NamedTuple):
@@ -94,11 +96,19 @@ def either(values) -> str:
 
 def has_company_suffix(text: Column) -> Column:
     """Whether a short text that isn't a sentence ends in, or has a capitalised run before, a company ending."""
-    up, low = strip(F.upper(text)), F.lower(text)
+    low = F.lower(text)
     common = sum((F.contains(low, F.lit(f" {w} ")).cast("int") for w in SENTENCE), F.lit(0))
-    ends = up.rlike(rf"(?sU)^.+\S\s*(?:{either(SUFFIXES)})\z")
-    inside = up.rlike(rf"(?U)\b[A-Z][A-Z0-9&\s]+\s(?:{either(SUFFIXES)})(?:[.,\s]|\z)")
-    return (F.length(up) <= 100) & (common < 2) & (ends | inside)
+    last = either(SUFFIXES)
+
+    def named(up: Column) -> Column:
+        # What an ending needs in any case is asked before the expressions that try each start.
+        ends = reduce(or_, (F.endswith(up, F.lit(s)) for s in SUFFIXES)) & up.rlike(rf"(?sU)^.+\S\s*(?:{last})\z")
+        after = rf"\s(?:{last})(?:[.,\s]|\z)"
+        return (F.length(up) <= 100) & (ends | (up.rlike(f"(?U){after}") & up.rlike(rf"(?U)\b[A-Z][A-Z0-9&\s]+{after}")))
+
+    # Capitals are never fewer than the letters, so a longer text is out unless white space is taken off it. They are made once, for a function of them.
+    short = (F.length(text) <= 100) | has_outer_space(text)
+    return short & F.get(F.transform(F.array(strip_if_any(F.upper(text))), named), F.lit(0)) & (common < 2)
 
 
 #: What must not be left in masked text; all matches count.

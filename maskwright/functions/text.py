@@ -10,6 +10,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def has_outer_space(c: Column) -> Column:
+    """Whether a text's first or last character is white space (of Unicode)."""
+    return F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1)).rlike(r"(?U)\s")
+
+
+def strip_if_any(c: Column) -> Column:
+    """strip, for many long texts of which few have outer white space: only these are looked through."""
+    return F.when(has_outer_space(c), strip(c)).otherwise(c)
+
+
 def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 

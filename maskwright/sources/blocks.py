@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import strip
+from ..functions.text import strip_if_any
 
 COLUMNS = ("doc_id", "page", "block_ord", "block_id", "text", "bbox", "confidence")
 SCHEMA = "doc_id bigint, page int, block_ord int, block_id string, text string, bbox array<int>, confidence double"
@@ -24,7 +24,7 @@ def _id(page: Column, order: Column) -> Column:
 def from_lines(table: DataFrame, key: str = "doc_id", text: str = "text", confidence: float = 0.9) -> DataFrame:
     """Null keys and texts give no block."""
     rows = table.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t")).filter("doc_id IS NOT NULL AND t IS NOT NULL")
-    lines = rows.select("doc_id", F.posexplode(F.transform(F.split("t", "\n"), strip)).alias("n", "text")).filter(F.length("text") >= LEAST)
+    lines = rows.select("doc_id", F.posexplode(F.transform(F.split("t", "\n"), strip_if_any)).alias("n", "text")).filter(F.length("text") >= LEAST)
     page, order, y = (F.floor(F.col("n") / LINES) + 1).cast("int"), F.col("n") % LINES, F.col("n") % LINES * 20
     return lines.select("doc_id", page.alias("page"), order.alias("block_ord"), _id(page, order).alias("block_id"), "text", F.array(F.lit(0), y, F.length("text") * 8, y + 16).alias("bbox"), F.lit(confidence).alias("confidence"))
 
@@ -41,7 +41,7 @@ def conversations(spark: SparkSession, folder: str) -> DataFrame:
     """A turn is a page."""
     table = spark.read.parquet(f"{folder}/conversations.parquet")
     turns = table.filter("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL")
-    lines = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.posexplode(F.transform(F.split("text", "\n"), strip)).alias("block_ord", "text")).filter(F.length("text") >= LEAST)
+    lines = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.posexplode(F.transform(F.split("text", "\n"), strip_if_any)).alias("block_ord", "text")).filter(F.length("text") >= LEAST)
     y = F.col("block_ord") * 20
     return lines.select("doc_id", "page", "block_ord", _id(F.col("page"), F.col("block_ord")).alias("block_id"), "text", F.array(F.lit(0), y, F.length("text") * 8, y + 16).alias("bbox"), F.lit(0.9).alias("confidence"))
 

@@ -323,3 +323,45 @@ def test_fields_meet_as_they_are(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((*r, f"{r[0]}-{r[2]}")) for r in kept)
     below = _exchanges(registered.queries()["dedup_nms"](spark, FOLDER))
     assert len(below) == 1 and "Aggregate" not in below[0]
+
+
+def test_leaks_are_those_of_whole_pages(spark, tmp_path):
+    """Leaks of patterns are found in blocks as in the page's joined text; the masked blocks are looked through once for both kinds."""
+    rng = random.Random(3)
+    bits = ["jane@x.example.com", "123-45-6789", "+12345678", "123", "45-6789", "@", "PER-0123ABCD", "user@", "b.co", "é@b.co", "Secret Name", "XXXX@b.co", "١٢٣-٤٥-٦٧٨٩"]
+    rows = [(d, p, k, f"block_{p}_{k}", None if rng.random() < 0.1 else rng.choice(["", " "]).join(rng.choices(bits, k=rng.randint(1, 4))), [0, k, 9, k + 1], 0.9) for d in range(8) for p in (1, 2) for k in range(6)]
+    b = spark.createDataFrame(rows, src.SCHEMA)
+    pages = {}
+    for d, p, k, _, t, *_ in rows:
+        pages.setdefault((d, p), []).append((k, t or ""))
+    forms = {"email": r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "ssn": r"\d{3}-\d\d-\d{4}", "phone": r"\+?[1-9]\d{6,14}"}
+    want = sorted((d, p, kind, m) for (d, p), ts in pages.items() for kind, rx in forms.items() for m in re.findall(rx, " ".join(t for _, t in ts)) if len(m) >= 4 and not re.search(P.MASKED, m))
+    assert want and sorted(map(tuple, ver.pattern_leaks(b).collect())) == want
+    f = detect.fields(b, doc_id="doc_id", page="page", original_text=F.lit("secret name")).filter("doc_id % 2 = 0")
+    old = sorted((d, p, "original_text_leaked", "secret name", [0, min(k for k, t in ts if "secret name" in t.lower()), 9]) for (d, p), ts in pages.items() if d % 2 == 0 and any("secret name" in t.lower() for _, t in ts))
+    got = ver.leaks(b, f)
+    rows = [(r.doc_id, r.page, r.field_type, r.text, r.bbox and r.bbox[:3], r.confidence, r.detection_method) for r in got.collect()]
+    assert old and sorted(r[:5] for r in rows if r[2] == "original_text_leaked") == old
+    assert sorted(r[:4] for r in rows if r[2] != "original_text_leaked") == want
+    assert {r[2:3] + r[5:] for r in rows} <= {("original_text_leaked", 0.95, "original_text_match")} | {(k, 0.7, "pattern_match") for k in forms}
+    assert all(r[4] is None for r in rows if r[2] != "original_text_leaked")
+    b.write.parquet(f"{tmp_path}/b")
+    assert _plan(ver.leaks(spark.read.parquet(f"{tmp_path}/b"), f)).count("FileScan parquet") == 1
+
+
+def test_company_suffix_is_that_of_the_reference(spark):
+    """The cheap questions put first leave out nothing."""
+    rng = random.Random(11)
+    bits = ["Acme", "Ltd", "Ltd.", "GmbH & Co. KG", "as", "ideas", "İnşaat", "Yapı A.Ş.", "ltd. şti.", "the", "and", "ß", " ", " ", "7", "INC,", "spa", "x" * 40, "&", "ﬀ"]
+    texts = ["".join(w + rng.choice([" ", " ", "", "  ", "\t"]) for w in rng.choices(bits, k=rng.randint(1, 9))) for _ in range(1500)] + ["ß" * 48 + " Ltd", "ß" * 49 + " Ltd", " " * 80 + "Acme Ltd" + " " * 60, " Ltd", ""]
+
+    def plain(text):
+        up = text.upper().strip()
+        if len(up) > 100 or sum(f" {w} " in text.lower() for w in P.SENTENCE) >= 2:
+            return False
+        return any((up.endswith(s) and re.search(rf"(?s)^.+\S\s*{re.escape(s)}\Z", up)) or re.search(rf"\b[A-Z][A-Z0-9&\s]+\s{re.escape(s)}(?:[.,]|\s|\Z)", up) for s in P.SUFFIXES)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, x string")
+    got = {r.k: r.has for r in df.select("k", P.has_company_suffix(F.col("x")).alias("has")).collect()}
+    assert [texts[k] for k in got if bool(got[k]) != bool(plain(texts[k]))] == []
+    assert 0.1 < sum(map(bool, got.values())) / len(texts) < 0.9
